@@ -12,12 +12,12 @@ from cellgrove.sources.tables import read, typed_cells
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Contacts of at most 15 µm between a non-tumour and a tumour cell that the recorded distance denies."""
-    return contacts_against_record(typed_cells(spark, folder, ["dist_to_tumour_um"], position=True), contact=15.0)
+    return contacts_against_record(typed_cells(spark, folder, ["dist_to_tumour_um"], position=True, kinds=("is_tumour",)), contact=15.0)
 
 
 def p5_fields_of_cells(spark: SparkSession, folder: str) -> DataFrame:
     """For each section and imaging rectangle, the cells in it; where rectangles overlap a cell counts in each."""
-    cells = typed_cells(spark, folder, [], position=True).where("x_um is not null")
+    cells = typed_cells(spark, folder, [], position=True, kinds=()).where("x_um is not null")
     points = cells.select(F.col("section_id").alias("space"), F.col("cell_id").alias("point_id"), F.col("x_um").alias("px"), F.col("y_um").alias("py"))
     fov = read(spark, folder, "fov").select(F.col("section_id").alias("space"), F.col("fov").alias("region_id"), "x", "y", "width", "height")
     inside = points_in_regions(points, rectangles(fov), strip=200.0, width=200.0, boundary="half_open")

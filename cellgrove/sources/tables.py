@@ -36,10 +36,13 @@ def current(df: DataFrame, key: str, newest: list[Column]) -> DataFrame:
     return df.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def typed_cells(spark: SparkSession, folder: str, columns: list[str], position: bool = False) -> DataFrame:
+_KINDS = {"type": "cell_type", "type_lineage": "lineage", "is_tumour": "is_tumour", "in_time_types": "in_time_types"}
+
+
+def typed_cells(spark: SparkSession, folder: str, columns: list[str], position: bool = False, kinds: tuple[str, ...] = ("type", "type_lineage", "is_tumour", "in_time_types")) -> DataFrame:
     """Current rows of cells with cell_id, section_id, the given columns, and the type.
 
-    The type (type, type_lineage, is_tumour, in_time_types) is what type_labels says of the folded time_type, else of
+    The type (those of type, type_lineage, is_tumour, in_time_types that kinds names) is what type_labels says of the folded time_type, else of
     the folded cell_type, else null. With position, x_um and y_um are micrometres, null where x, y, the unit or the
     pixel size is missing or not a number. Only the needed columns are shuffled, labels already replaced by types.
     """
@@ -58,7 +61,7 @@ def typed_cells(spark: SparkSession, folder: str, columns: list[str], position:
         both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
         df = df.withColumn("x_um", F.when(both, F.col("_x"))).withColumn("y_um", F.when(both, F.col("_y")))
     out = ["cell_id", "section_id", *[c for c in columns if c not in ("cell_id", "section_id")]]
-    df = df.select(*dict.fromkeys([*out, "row_id", "loaded_at"]), F.col("t.cell_type").alias("type"), F.col("t.lineage").alias("type_lineage"), F.col("t.is_tumour").alias("is_tumour"), F.col("t.in_time_types").alias("in_time_types"), *(["x_um", "y_um"] if position else []))
+    df = df.select(*dict.fromkeys([*out, "row_id", "loaded_at"]), *[F.col(f"t.{_KINDS[k]}").alias(k) for k in kinds], *(["x_um", "y_um"] if position else []))
     return current(df, "cell_id", [F.col("loaded_at").desc_nulls_last(), F.col("row_id").desc_nulls_last()])
 
 
