@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellgrove.functions import finite, fold, tile
 from cellgrove.llm.cooccurrence import item_pairs
+from cellgrove.llm.language import fit, label_cases, mail_languages, mail_stretches
 from cellgrove.llm.mixing import mix_sources, with_tokens
 from cellgrove.llm.percentiles import percentiles, value_counts
 from cellgrove.llm.sampling import sample_to_targets
@@ -21,7 +22,7 @@ TILE_UM = 50.0
 
 
 def _tiles(spark: SparkSession, folder: str) -> DataFrame:
-    cells = typed_cells(spark, folder, [], position=True).where("in_time_types and x_um is not null")
+    cells = typed_cells(spark, folder, [], position=True, kinds=("type", "in_time_types")).where("in_time_types and x_um is not null")
     return cells.select(F.col("section_id").alias("grp"), tile("x_um", TILE_UM).alias("tx"), tile("y_um", TILE_UM).alias("ty"), F.col("type").alias("item"))
 
 
@@ -38,7 +39,7 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _distances(spark: SparkSession, folder: str) -> DataFrame:
-    cells = typed_cells(spark, folder, ["dist_to_tumour_um"])
+    cells = typed_cells(spark, folder, ["dist_to_tumour_um"], kinds=("type", "is_tumour"))
     d = finite("dist_to_tumour_um")
     return cells.where(~F.col("is_tumour") & (d >= 0) & (d < 90_000)).select("section_id", F.col("type").alias("cell_type"), F.to_date("loaded_at").alias("day"), d.alias("d"))
 
@@ -109,7 +110,19 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_split": p3_split, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of the mails that are in several, or whose label does not name theirs."""
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    return label_cases(docs, cut(mail_languages(docs)))
+
+
+def p9_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of every mail with its language and confidence."""
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    return mail_stretches(docs, fit(docs))
+
+
+QUERIES = {"p9_found": p9_found, "p9_stretches": p9_stretches, "p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_split": p3_split, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _PAIRS = f"""WITH {CELL}, inc AS (SELECT DISTINCT section_id, floor(xu / 50) AS tx, floor(yu / 50) AS ty, typ FROM cell WHERE tt AND xu IS NOT NULL AND section_id IS NOT NULL),
 total AS (SELECT section_id, count(*) AS n_tiles FROM (SELECT DISTINCT section_id, tx, ty FROM inc) GROUP BY 1),
