@@ -49,13 +49,13 @@ class Items:
     ids: np.ndarray
     texts: list[str]
     q: int
-    least: int  # characters of the shortest passage that counts
+    least: np.ndarray  # of each item, the characters of its shortest passage that counts
     bits: np.ndarray
     keys: np.ndarray
     first: np.ndarray
     item: np.ndarray
     at: np.ndarray
-    runs: list[set[str]]
+    runs: list[list[str]]
 
     @staticmethod
     def index(rows: list[tuple[int, str | None]], run: int, edits: int) -> Items | None:
@@ -63,8 +63,8 @@ class Items:
         if not rows:
             return None
         windows = [[" ".join(w[k : k + run]) for k in range(len(w) - run + 1)] for _, w in rows]
-        least = min(len(x) for ws in windows for x in ws)
-        q = max(3, min(16, least // (edits + 2)))
+        least = np.array([min(map(len, ws)) for ws in windows])
+        q = int(max(3, min(16, least.min() // (edits + 2))))
         texts = [" ".join(w) for _, w in rows]
         grams = [_qgrams(_codes(t), q) for t in texts]
         every = np.concatenate(grams)
@@ -74,18 +74,19 @@ class Items:
         keys, first = np.unique(every[order], return_index=True)
         bits = np.zeros(1 << _BITS, dtype=bool)
         bits[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        return Items(np.array([i for i, _ in rows]), texts, q, least, bits, keys, np.r_[first, len(every)], item[order].astype(np.int32), at[order].astype(np.int32), [set(ws) for ws in windows])
+        return Items(np.array([i for i, _ in rows]), texts, q, least, bits, keys, np.r_[first, len(every)], item[order].astype(np.int32), at[order].astype(np.int32), [[f" {x} " for x in ws] for ws in windows])
 
 
 def _candidates(items: Items, texts: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, item, diagonal) of every band that shares enough q-grams to hold a passage within the edit budget.
 
-    A passage of `least` characters with at most `edits` edits shares least + 1 - q * (edits + 1) q-grams with its
-    item, all on diagonals that differ by at most `edits`; bands of 2 * (edits + 1) diagonals overlap by half, so one
-    of them holds them all.
+    A passage of an item's `least` characters with at most `edits` edits shares least + 1 - q * (edits + 1) q-grams with its
+    item, all on diagonals that differ by at most `edits` and within its length; bands of 2 * (edits + 1) diagonals
+    overlap by half, so one of them holds them all.
     """
     none = np.zeros(0, dtype=np.int64)
-    enough = max(1, items.least + 1 - items.q * (edits + 1))
+    needed = np.maximum(1, items.least + 1 - items.q * (edits + 1))
+    enough = needed.min()
     joined = _codes("\n".join(texts))
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     starts = np.cumsum(np.r_[0, lengths[:-1] + 1])
@@ -114,9 +115,12 @@ def _candidates(items: Items, texts: list[str], edits: int) -> tuple[np.ndarray,
         key = np.stack([text * len(items.texts) + item, band])
         order = np.lexsort(key[::-1])
         a, b = key[0][order], key[1][order]
-        edge = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        count = np.diff(np.r_[edge, len(a)])
-        good = edge[count >= enough]
+        # entries of a band stay in the order of the text: the one that completes the count has to be near enough
+        of = a % len(items.texts)
+        last = np.arange(len(a)) + needed[of] - 1
+        end = np.minimum(last, len(a) - 1)
+        p = pos[which[order]]
+        good = (last < len(a)) & (a[end] == a) & (b[end] == b) & (p[end] - p <= items.least[of] - items.q + edits)
         found.append(np.stack([a[good], b[good] * width - shift - half]))
     both = np.unique(np.concatenate(found, axis=1), axis=1)
     return both[0] // len(items.texts), both[0] % len(items.texts), both[1]
@@ -149,17 +153,16 @@ def _aligned(items: Items, texts: list[str], text: np.ndarray, item: np.ndarray,
             new[:, c] = np.maximum(new[:, c], new[:, c - 1] - 2)
         h[:, 1:-1] = new
         best = np.maximum(best, new.max(axis=1))
-    return best >= items.least - 3 * edits
+    return best >= items.least[item] - 3 * edits
 
 
 def _leaks(items: Items, ids: np.ndarray, raws: list[str | None], run: int, edits: int) -> pd.DataFrame:
-    owner, texts, tokens = [], [], []
+    owner, texts = [], []
     for i, raw in enumerate(raws):
         for p in parts(raw):
             w = words(unquoted(p.text))
             if len(w) >= run:
                 owner.append(i)
-                tokens.append(w)
                 texts.append(" ".join(w))
     hits = []
     if texts:
@@ -168,9 +171,9 @@ def _leaks(items: Items, ids: np.ndarray, raws: list[str | None], run: int, edit
         for s in range(0, len(text), 4_000):
             part = slice(s, s + 4_000)
             ok[part] = _aligned(items, texts, text[part], item[part], diagonal[part], edits)
-        for t, i in sorted(set(zip(text[ok].tolist(), item[ok].tolist(), strict=True))):
-            w, runs = tokens[t], items.runs[i]
-            if any(" ".join(w[k : k + run]) in runs for k in range(len(w) - run + 1)):
+        for t, i, d in zip(text[ok].tolist(), item[ok].tolist(), diagonal[ok].tolist(), strict=True):
+            near = f" {texts[t]} "[max(0, d - 1) : d + len(items.texts[i]) + 2 * edits + 6]
+            if any(x in near for x in items.runs[i]):
                 hits.append((ids[owner[t]], items.ids[i]))
     return pd.DataFrame(sorted(set(hits)), columns=["doc_id", "item_id"]).astype("int64")
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrove.functions import finite, fold, tile
+from cellgrove.llm.clusters import alike_groups, similarity_clusters, typical_members
 from cellgrove.llm.cooccurrence import item_pairs
 from cellgrove.llm.language import fit, label_cases, mail_languages, mail_stretches
+from cellgrove.llm.leaks import leak_report, leaked_items
 from cellgrove.llm.mixing import mix_sources, with_tokens
 from cellgrove.llm.percentiles import percentiles, value_counts
 from cellgrove.llm.sampling import sample_to_targets
@@ -110,6 +112,39 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def _profiles(spark: SparkSession, folder: str) -> DataFrame:
+    p = read(spark, folder, "sub_profiles")
+    names = F.transform("markers", lambda m: F.upper(F.regexp_replace(m, r"(?U)^\s+|\s+$", "")))
+    lead = fold(F.regexp_extract(F.regexp_replace("niche", r"(?iU)^\s*N\d+\s*:", ""), r"(?U)^(.*?)\d+(?:\.\d+)?\s*%", 1))
+    return p.select(F.col("profile_id").alias("id"), F.when(lead != "", lead).alias("part"), F.filter(names, lambda m: m.isNotNull() & (m != "")).alias("features"), "section_id", "sub")
+
+
+LEAST_MARKERS = 7
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles that share at least 7 marker names and the leading lineage, each with the first of its group."""
+    rows = cut(_profiles(spark, folder))
+    groups = alike_groups(rows, cut(similarity_clusters(rows, LEAST_MARKERS)), LEAST_MARKERS)
+    return groups.select(F.col("id").alias("profile_id"), F.col("first").alias("cluster_first"))
+
+
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and most typical profiles of each cluster of at least two."""
+    rows = cut(_profiles(spark, folder))
+    return typical_members(cut(similarity_clusters(rows, LEAST_MARKERS))).where("size > 1").select("size", "members")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Mails with at least 12 consecutive words of an item."""
+    return leaked_items(read(spark, folder, "documents"), read(spark, folder, "eval_items"))
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """In how many mails each item leaked."""
+    return leak_report(p7_found(spark, folder), read(spark, folder, "eval_items"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Languages of the mails that are in several, or whose label does not name theirs."""
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -122,7 +157,7 @@ def p9_stretches(spark: SparkSession, folder: str) -> DataFrame:
     return mail_stretches(docs, fit(docs))
 
 
-QUERIES = {"p9_found": p9_found, "p9_stretches": p9_stretches, "p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_split": p3_split, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p4_found": p4_found, "p4_clusters": p4_clusters, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_stretches": p9_stretches, "p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_percentiles": p2_percentiles, "p3_found": p3_found, "p3_split": p3_split, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _PAIRS = f"""WITH {CELL}, inc AS (SELECT DISTINCT section_id, floor(xu / 50) AS tx, floor(yu / 50) AS ty, typ FROM cell WHERE tt AND xu IS NOT NULL AND section_id IS NOT NULL),
 total AS (SELECT section_id, count(*) AS n_tiles FROM (SELECT DISTINCT section_id, tx, ty FROM inc) GROUP BY 1),
@@ -134,7 +169,12 @@ _ASK = f"""WITH {ATLAS}, line AS (SELECT target_id, line_no, {sql_fold('cell_typ
 got AS (SELECT target_id, line_no, ask, count(DISTINCT obs_id) AS n FROM line LEFT JOIN atlas ON (f1 IS NULL OR f1 = {sql_fold('cell_type_major')}) AND (f2 IS NULL OR f2 = {sql_fold('tissue')}) AND (f3 IS NULL OR f3 = {sql_fold('platform')}) GROUP BY 1, 2, 3)"""
 _ID = lambda c: f"upper(trim(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')))"
 
+_PROFILE = f"""WITH prof AS (SELECT profile_id, {sql_fold("regexp_extract(regexp_replace(niche, '^\\s*[Nn]\\d+\\s*:', ''), '^(.*?)\\d+(?:\\.\\d+)?\\s*%', 1)")} AS lead, unnest(markers) AS m FROM sub_profiles),
+mark AS (SELECT DISTINCT profile_id, lead, upper(trim(m)) AS m FROM prof WHERE lead <> ''),
+link AS (SELECT a.profile_id AS p, b.profile_id AS q FROM mark a JOIN mark b ON a.m = b.m AND a.lead = b.lead WHERE a.m <> '' GROUP BY 1, 2 HAVING count(*) >= 7)"""
+
 SQL = {
+    "p4_found": f"{_PROFILE} SELECT p AS profile_id, min(q) AS cluster_first FROM link GROUP BY 1 HAVING count(*) > 1",
     "p1_found": f"{_PAIRS} SELECT section_id, type_a, type_b FROM counted WHERE n_ab >= 8 AND n_ab * n_tiles >= 2 * n_a * n_b",
     "p1_pairs": f"{_PAIRS} SELECT section_id, type_a, type_b, n_ab, n_a, n_b, n_tiles, round(n_ab::DOUBLE * n_tiles / (n_a::DOUBLE * n_b), 6) AS lift FROM counted",
     "p2_found": f"{_DIST} SELECT section_id, cell_type FROM dist GROUP BY 1, 2 HAVING max(n) >= 50 AND min(d) FILTER (WHERE q >= 0.95) >= 6 * min(d) FILTER (WHERE q >= 0.5)",
