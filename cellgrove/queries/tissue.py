@@ -87,7 +87,7 @@ def dbscan_aggregates(spark, d):
 def aggregate_table(spark, d):
     """Centre, radius and composition of each aggregate with its rim."""
     _, t = ts.aggregates(kept(tissue(spark, d)), "B cell", EPS, LEAST_B)
-    return t.select("space", F.col("n_core"), F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), F.round("radius", 4).alias("radius"), "cells", "pct_core", "pct_t_nk", "pct_tumour")
+    return t.select("space", F.col("n_core"), F.round("cx", 8).alias("cx"), F.round("cy", 8).alias("cy"), F.round("radius", 8).alias("radius"), "cells", "pct_core", "pct_t_nk", "pct_tumour")
 
 
 def _with_aggregates(spark, d):
@@ -225,7 +225,7 @@ SQL = {
     "graph_stats": f"WITH {EDGES}, deg AS (SELECT v.id, count(e.src) AS deg FROM vec v LEFT JOIN edge e ON e.src = v.id GROUP BY 1) SELECT count(*) AS cells, round(avg(deg), 6) AS mean_degree, median(deg) AS median_degree, sum((deg = 0)::INT)::BIGINT AS isolated, (SELECT count(*) FROM edge) AS entries, (SELECT round(median(dist), 6) FROM edge) AS median_um FROM deg",
     "khop_rings": f"WITH {EDGES}, one AS (SELECT src, dst FROM edge), two AS (SELECT DISTINCT a.src, b.dst FROM one a JOIN one b ON a.dst = b.src WHERE a.src <> b.dst EXCEPT SELECT src, dst FROM one), three AS (SELECT DISTINCT a.src, b.dst FROM two a JOIN one b ON a.dst = b.src WHERE a.src <> b.dst EXCEPT SELECT src, dst FROM one EXCEPT SELECT src, dst FROM two) SELECT src, 1 AS layer, count(*) AS n FROM one GROUP BY 1 UNION ALL SELECT src, 2, count(*) FROM two GROUP BY 1 UNION ALL SELECT src, 3, count(*) FROM three GROUP BY 1",
     "dbscan_aggregates": f"WITH RECURSIVE {TISSUE}, {_DBSCAN} SELECT id, cluster FROM dbscan",
-    "aggregate_table": f"WITH RECURSIVE {TISSUE}, {_CIRCLE} SELECT space, n_core, round(cx, 4) AS cx, round(cy, 4) AS cy, round(radius, 4) AS radius, count(*) AS cells, round(100 * avg((cell_type = 'B cell')::INT::DOUBLE), 6) AS pct_core, round(100 * avg((lineage = 'T / NK')::INT::DOUBLE), 6) AS pct_t_nk, round(100 * avg(is_tumour::INT::DOUBLE), 6) AS pct_tumour FROM held GROUP BY cluster, space, n_core, held.cx, held.cy, held.radius",
+    "aggregate_table": f"WITH RECURSIVE {TISSUE}, {_CIRCLE} SELECT space, n_core, round(cx, 8) AS cx, round(cy, 8) AS cy, round(radius, 8) AS radius, count(*) AS cells, round(100 * avg((cell_type = 'B cell')::INT::DOUBLE), 6) AS pct_core, round(100 * avg((lineage = 'T / NK')::INT::DOUBLE), 6) AS pct_t_nk, round(100 * avg(is_tumour::INT::DOUBLE), 6) AS pct_tumour FROM held GROUP BY cluster, space, n_core, held.cx, held.cy, held.radius",
     "compartments": f"WITH RECURSIVE {_BANDED} SELECT CASE WHEN agg THEN 'aggregate' WHEN d <= 15 THEN 'tumour contact' WHEN d <= 50 THEN 'border' ELSE 'stroma' END AS compartment, cell_type, count(*) AS n FROM banded GROUP BY 1, 2",
     "ratio_by_band": f"WITH RECURSIVE {_BANDED}, every AS (SELECT unnest(['aggregate', '<= 15 um', '15-50 um', '50-100 um', '> 100 um']) AS location) SELECT location, count(*) FILTER (WHERE cell_type = 'CD8 T (GZMK+)') AS numerator, count(*) FILTER (WHERE cell_type = 'CD163+ macrophage') AS denominator, round(count(*) FILTER (WHERE cell_type = 'CD8 T (GZMK+)') / nullif(count(*) FILTER (WHERE cell_type = 'CD163+ macrophage'), 0), 9) AS value FROM every LEFT JOIN (SELECT *, {_BAND} AS bd FROM banded) b ON bd = location GROUP BY 1",
     "tile_phenotypes": f"WITH {_TILED} SELECT space, tx, ty, tumour, intra, stroma, programme, round(intra_density, 4) AS intra_density, round(stroma_density, 4) AS stroma_density, round(total_density, 4) AS total_density, phenotype FROM t2",
