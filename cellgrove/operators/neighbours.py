@@ -29,11 +29,11 @@ def radius_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFra
     return a.join(b, ["space", "_gx", "_gy"]).withColumn("dist", d).where(F.col("dist") <= radius).select("space", "src", "dst", "dist")
 
 
-def nearest(points: DataFrame, targets: DataFrame, first: float = 32.0) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, first: float = 16.0, growth: float = 3.0) -> DataFrame:
     """id, target, dist: the nearest target of each point within its space; ties go to the smaller target.
 
-    Rings: a join within `first`, then twice as far for the points that found nothing, and so on up to the extent of
-    the largest space. A point whose space has no target gets nulls; a point that is a target has distance 0.
+    Rings: a join within `first`, then `growth` times as far for the points that found nothing, and so on up to the
+    extent of the largest space. A point whose space has no target gets nulls; a point that is a target has distance 0.
     """
     points, targets = kept(_placed(points).select("id", "space", "x", "y")), kept(_placed(targets).select("id", "space", "x", "y"))
     able = points.join(targets.select("space").distinct(), "space", "left_semi")
@@ -49,7 +49,7 @@ def nearest(points: DataFrame, targets: DataFrame, first: float = 32.0) -> DataF
         left = cut(left.join(hit, "id", "left_anti"))
         if not left.limit(1).count():
             break
-        radius *= 2
+        radius *= growth
     return points.select("id").join(found, "id", "left")
 
 
