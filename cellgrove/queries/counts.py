@@ -95,7 +95,7 @@ def paired_spillover(spark, d):
     """Cells positive for foreign genes in the first and the second count."""
     s = kept(segmented(spark, d))
     both = s.groupBy("cell_id").agg(F.countDistinct("seg").alias("k")).where("k = 2").select("cell_id", F.concat(F.lit("l"), (F.col("cell_id") % 3).cast("string")).alias("grp"))
-    tests = spark.createDataFrame([("l0", "a", "Brand#11"), ("l0", "a", "Brand#12"), ("l1", "b", "Brand#23"), ("l2", "c", "Brand#34"), ("l2", "c", "Brand#35")], "grp string, foreign string, gene string")
+    tests = spark.createDataFrame([("l0", "a", "Brand#11"), ("l0", "a", "Brand#12"), ("l1", "b", "Brand#23"), ("l2", "c", "Brand#14"), ("l2", "c", "Brand#15")], "grp string, foreign string, gene string")
     f = mx.spillover(s.where("seg = 'O'"), s.where("seg = 'F'"), kept(both), tests)
     return f.select("grp", "foreign", *[F.round(c, 9).alias(c) for c in ("before", "after", "reduction")])
 
@@ -209,7 +209,7 @@ SQL = {
     "positivity_rates": f"WITH {VECTORS}, {_RATE('lineage')} SELECT grp, gene, round(pct, 9) AS pct FROM rate",
     "above_noise_floor": f"WITH {VECTORS}, {_RATE('cell_type')}, f AS (SELECT gene, greatest(pct, 0.5) AS floor FROM rate WHERE grp = 't0') SELECT r.gene, coalesce(string_agg(grp, ', ' ORDER BY grp) FILTER (WHERE pct > 1.1::DOUBLE * floor AND pct >= 5), 'none above 1.1x noise floor') AS groups FROM rate r JOIN f ON f.gene = r.gene WHERE grp <> 't0' GROUP BY 1",
     "cd8_states": f"WITH {VECTORS}, c AS (SELECT e.gene, v.lineage AS a, x.id IS NOT NULL AS b, count(*) AS n FROM vec v CROSS JOIN (SELECT unnest([{_GENES}]) AS gene) e LEFT JOIN vgene x ON x.id = v.id AND x.gene = e.gene GROUP BY 1, 2, 3), h AS (SELECT *, (sum(n) OVER (PARTITION BY gene, a))::DOUBLE * sum(n) OVER (PARTITION BY gene, b) / sum(n) OVER (PARTITION BY gene) AS e FROM c) SELECT gene, round(sum((n - e) * (n - e) / e), 7) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof FROM h GROUP BY 1",
-    "paired_spillover": f"WITH {SEGMENTED}, b AS (SELECT cell_id, 'l' || (cell_id % 3) AS grp FROM segm GROUP BY 1 HAVING count(DISTINCT seg) = 2), t(grp, fo, gene) AS (VALUES ('l0', 'a', 'Brand#11'), ('l0', 'a', 'Brand#12'), ('l1', 'b', 'Brand#23'), ('l2', 'c', 'Brand#34'), ('l2', 'c', 'Brand#35')), n AS (SELECT grp, count(*) AS n FROM b GROUP BY 1), r AS (SELECT t.grp, fo, 100.0::DOUBLE * count(DISTINCT s.cell_id) FILTER (WHERE seg = 'O') / any_value(n.n) AS before_, 100.0::DOUBLE * count(DISTINCT s.cell_id) FILTER (WHERE seg = 'F') / any_value(n.n) AS after_ FROM t JOIN n ON n.grp = t.grp LEFT JOIN (SELECT segm.*, grp FROM segm JOIN b USING (cell_id) WHERE cnt > 0) s ON s.grp = t.grp AND s.gene = t.gene GROUP BY 1, 2) SELECT grp, fo AS \"foreign\", round(before_, 9) AS before, round(after_, 9) AS after, round(before_ / greatest(after_, 1e-9), 9) AS reduction FROM r",
+    "paired_spillover": f"WITH {SEGMENTED}, b AS (SELECT cell_id, 'l' || (cell_id % 3) AS grp FROM segm GROUP BY 1 HAVING count(DISTINCT seg) = 2), t(grp, fo, gene) AS (VALUES ('l0', 'a', 'Brand#11'), ('l0', 'a', 'Brand#12'), ('l1', 'b', 'Brand#23'), ('l2', 'c', 'Brand#14'), ('l2', 'c', 'Brand#15')), n AS (SELECT grp, count(*) AS n FROM b GROUP BY 1), r AS (SELECT t.grp, fo, 100.0::DOUBLE * count(DISTINCT s.cell_id) FILTER (WHERE seg = 'O') / any_value(n.n) AS before_, 100.0::DOUBLE * count(DISTINCT s.cell_id) FILTER (WHERE seg = 'F') / any_value(n.n) AS after_ FROM t JOIN n ON n.grp = t.grp LEFT JOIN (SELECT segm.*, grp FROM segm JOIN b USING (cell_id) WHERE cnt > 0) s ON s.grp = t.grp AND s.gene = t.gene GROUP BY 1, 2) SELECT grp, fo AS \"foreign\", round(before_, 9) AS before, round(after_, 9) AS after, round(before_ / greatest(after_, 1e-9), 9) AS reduction FROM r",
     "by_segmentation": f"WITH {SEGMENTED}, c AS (SELECT DISTINCT cell_id, seg || '|l' || (cell_id % 3) AS grp FROM segm), n AS (SELECT grp, count(*) AS n FROM c GROUP BY 1), g AS (SELECT unnest(['Brand#11', 'Brand#23']) AS gene) SELECT n.grp, g.gene, round(100.0::DOUBLE * (SELECT count(DISTINCT cell_id) FROM segm s WHERE s.gene = g.gene AND cnt > 5 AND seg || '|l' || (cell_id % 3) = n.grp) / n.n, 1) AS pct FROM n, g",
     "segmentation_summary": f"WITH {SEGMENTED}, p AS (SELECT seg, cell_id, sum(cnt) AS t, count(*) AS g FROM segm GROUP BY 1, 2) SELECT seg, count(*) AS cells, sum((t >= 10)::INT)::BIGINT AS cells_10, sum(t) AS counts, median(t) AS median_counts, median(g) AS median_genes FROM p GROUP BY 1",
     "probe_rates": f"WITH {VECTORS}, pb(probe, gene) AS (VALUES ('p1', 'g1'), ('p1', 'g2'), ('p2', 'g3'), ('p3', 'g9')), n AS (SELECT cell_type, count(*) AS n FROM vec GROUP BY 1), k AS (SELECT cell_type, probe, count(DISTINCT id) AS k FROM vgene JOIN pb USING (gene) JOIN vec USING (id) GROUP BY 1, 2), w AS (SELECT n.cell_type, coalesce(max(round_even(100.0::DOUBLE * k / n.n, 0)) FILTER (WHERE probe = 'p1'), 0) AS p1, coalesce(max(round_even(100.0::DOUBLE * k / n.n, 0)) FILTER (WHERE probe = 'p2'), 0) AS p2, coalesce(max(round_even(100.0::DOUBLE * k / n.n, 0)) FILTER (WHERE probe = 'p3'), 0) AS p3 FROM n LEFT JOIN k ON k.cell_type = n.cell_type GROUP BY 1) SELECT *, CASE WHEN p1 >= 60 AND greatest(p2, p3) < 75 THEN 'clean' ELSE 'mixed' END AS call FROM w",
