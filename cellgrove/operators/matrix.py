@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrove.functions import ratio, uniform
-from cellgrove.plans import kept
+from cellgrove.plans import kept, quantiles
 
 
 def log_normalised(expr: DataFrame, scale: float | None = 10_000.0) -> DataFrame:
     """Adds lognorm = ln(1 + scale * cnt / total of the cell); scale None: the median total. Totals below 1 count as 1."""
     total = expr.groupBy("cell_id").agg(F.sum("cnt").alias("_t"))
     if scale is None:
-        total = total.join(F.broadcast(total.agg(F.median("_t").alias("_s"))))  # one row
+        total = kept(total)
+        total = total.join(F.broadcast(quantiles(total, [], "_t", {"_s": 0.5})))  # one row
     else:
         total = total.withColumn("_s", F.lit(float(scale)))
     return expr.join(total, "cell_id").withColumn("lognorm", F.log1p(F.col("_s") * F.col("cnt") / F.greatest("_t", F.lit(1.0)))).drop("_t", "_s")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrove.functions import ratio
+from cellgrove.plans import kept, quantiles
 
 MAD = 1.4826
 RULES = ("low_counts", "low_genes", "small", "large", "control")
@@ -30,9 +31,11 @@ def mad_bounds(df: DataFrame, column: str, nmads: float = 3.0, by: list[str] | N
     """low, high (and med, mad) on the scale of log1p, mapped back: median +- nmads * 1.4826 * MAD. Nulls are left out."""
     by = by or []
     logs = df.where(F.col(column).isNotNull()).select(*by, F.log1p(column).alias("_l"))
-    med = logs.groupBy(*by).agg(F.median("_l").alias("med"))
+    logs = kept(logs)
+    med = kept(quantiles(logs, by, "_l", {"med": 0.5}))
     both = logs.join(med, by) if by else logs.join(F.broadcast(med))  # one row
-    mad = both.groupBy(*by, "med").agg((F.median(F.abs(F.col("_l") - F.col("med"))) * MAD).alias("mad"))
+    far = quantiles(both.select(*by, F.abs(F.col("_l") - F.col("med")).alias("_d")), by, "_d", {"_mad": 0.5})
+    mad = (med.join(far, by) if by else med.join(F.broadcast(far))).withColumn("mad", F.col("_mad") * MAD)
     return mad.select(*by, "med", "mad", F.expm1(F.col("med") - nmads * F.col("mad")).alias("low"), F.expm1(F.col("med") + nmads * F.col("mad")).alias("high"))
 
 
@@ -72,10 +75,12 @@ def tile_outliers(tiles: DataFrame, columns: list[str], least: int = 200, z: flo
     """Adds z_<column> and outlier: tiles whose robust z exceeds z in some column, judged among tiles of at least
     `least` cells; smaller tiles have null z and are no outliers. A constant column gives null z."""
     big = tiles.where(F.col("cells") >= least)
-    med = big.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    far = big.join(F.broadcast(med)).agg(*[F.median(F.abs(F.col(c) - F.col(f"_m_{c}"))).alias(f"_d_{c}") for c in columns])  # one row each
-    out = tiles.join(F.broadcast(med)).join(F.broadcast(far))
+    out = tiles
     for c in columns:
+        med = kept(quantiles(big, [], c, {f"_m_{c}": 0.5}))
+        far = quantiles(big.join(F.broadcast(med)).select(F.abs(F.col(c) - F.col(f"_m_{c}")).alias("_x")), [], "_x", {f"_d_{c}": 0.5})
+        none = F.lit(True)
+        out = out.join(F.broadcast(med), none, "left").join(F.broadcast(far), none, "left")  # one row each
         out = out.withColumn(f"z_{c}", F.when(F.col("cells") >= least, robust_z(c, f"_m_{c}", f"_d_{c}")))
     hit = [F.coalesce(F.abs(F.col(f"z_{c}")) > z, F.lit(False)) for c in columns]
     any_hit = hit[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellgrove.functions import half_even, ratio, tile
 from cellgrove.operators.neighbours import dense_aggregates
-from cellgrove.plans import kept, ranked
+from cellgrove.plans import kept, quantiles, ranked
 
 CONTACT = 15
 PHENOTYPES = ("inflamed", "excluded", "desert")
@@ -20,9 +20,10 @@ def infiltration(cells: DataFrame, contact: float = CONTACT) -> DataFrame:
     cells within contact; a type is infiltrating above 1.2 and excluded below 0.8 of it, else similar.
     """
     near = (F.col("d") <= contact).cast("double")
-    base = cells.where("not is_tumour and d is not null").agg(F.avg(near).alias("base"))
-    g = cells.where("not is_tumour and d is not null").groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"), F.median("d").alias("median_um"), F.avg(near).alias("c"), F.avg((F.col("d") > 100).cast("double")).alias("far"))
-    g = g.join(F.broadcast(base))  # one row
+    cells = kept(cells.where("not is_tumour and d is not null").select("cell_type", "d"))
+    base = cells.agg(F.avg(near).alias("base"))
+    g = cells.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"), F.avg(near).alias("c"), F.avg((F.col("d") > 100).cast("double")).alias("far"))
+    g = g.join(F.broadcast(base)).join(quantiles(cells, ["cell_type"], "d", {"median_um": 0.5}), "cell_type")  # base: one row
     versus = F.when(F.col("c") > F.col("base") * 1.2, "infiltrating").when(F.col("c") < F.col("base") * 0.8, "excluded").otherwise("similar")
     return g.select("cell_type", "n", F.round("median_um", 6).alias("median_um"), F.round(100 * F.col("c"), 6).alias("pct_contact"), F.round(100 * F.col("far"), 6).alias("pct_beyond_100"), versus.alias("versus"))
 
@@ -103,9 +104,10 @@ def aggregates(cells: DataFrame, core_type: str, eps: float = 25, least: int = 2
     """
     own = cells.where(F.col("cell_type") == core_type)
     label = kept(own.join(dense_aggregates(own, eps, least).select("id", "cluster"), "id"))
-    centre = label.groupBy("space", "cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("n_core"))
+    centre = kept(label.groupBy("space", "cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("n_core")))
     away = F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)
-    radius = label.join(centre, ["space", "cluster"]).groupBy("space", "cluster", "cx", "cy", "n_core").agg((F.percentile(away, F.lit(0.9)) + rim).alias("radius"))
+    far = quantiles(label.join(centre, ["space", "cluster"]).withColumn("_away", away), ["space", "cluster"], "_away", {"_far": 0.9})
+    radius = centre.join(far, ["space", "cluster"]).withColumn("radius", F.col("_far") + rim).drop("_far")
     circles = kept(ranked(radius, [], [F.col("n_core").desc(), F.col("cluster")], "rank"))
     inside = cells.join(circles.drop("cluster"), "space").where(away <= F.col("radius"))
     inside = kept(inside)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cellgrove.functions import fold
 from cellgrove.operators import matrix as mx
 from cellgrove.operators import stats as st
-from cellgrove.plans import kept
+from cellgrove.plans import kept, quantiles
 from cellgrove.queries.base import ORDERS, SEGMENTED, TISSUE, VECTORS, order_cells, order_genes, segmented, tissue, vector_genes, vectors
 from cellgrove.queries.sql import ATLAS
 from cellgrove.queries.sql import fold as sql_fold
@@ -113,7 +113,9 @@ def by_segmentation(spark, d):
 def segmentation_summary(spark, d):
     """Cells, totals and medians of each count."""
     per = segmented(spark, d).groupBy("seg", "cell_id").agg(F.sum("cnt").alias("t"), F.count(F.lit(1)).alias("g"))
-    return per.groupBy("seg").agg(F.count(F.lit(1)).alias("cells"), F.sum((F.col("t") >= 10).cast("bigint")).alias("cells_10"), F.sum("t").alias("counts"), F.median("t").alias("median_counts"), F.median("g").alias("median_genes"))
+    per = kept(per)
+    s = per.groupBy("seg").agg(F.count(F.lit(1)).alias("cells"), F.sum((F.col("t") >= 10).cast("bigint")).alias("cells_10"), F.sum("t").alias("counts"))
+    return s.join(quantiles(per, ["seg"], "t", {"median_counts": 0.5}), "seg", "left").join(quantiles(per, ["seg"], "g", {"median_genes": 0.5}), "seg", "left")
 
 
 def probe_rates(spark, d):

@@ -10,7 +10,7 @@ from cellgrove.operators import models as md
 from cellgrove.operators import neighbours as nb
 from cellgrove.operators import stats as st
 from cellgrove.operators import tissue as ts
-from cellgrove.plans import cut, kept
+from cellgrove.plans import cut, kept, quantiles
 from cellgrove.queries.base import EDGES, VECTORS, order_genes, tissue, vector_edges, vector_genes, vectors
 from cellgrove.sources.tables import read
 from cellgrove.streaming import quality_stream
@@ -63,7 +63,9 @@ def atlas_classifier(spark, d):
     f = kept(_features(spark, d).withColumn("weight", F.lit(1.0)))
     fitted = md.train_classifier(f.where("block < 9"), "label")
     p = md.predict(fitted, f.where("block >= 9"))
-    return p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"), F.median("prob").alias("median_prob"), F.avg((F.col("prob") >= 0.5).cast("double")).alias("confident"))
+    p = kept(p.select("label", "pred", "prob"))
+    s = p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"), F.avg((F.col("prob") >= 0.5).cast("double")).alias("confident"))
+    return s.join(quantiles(p, ["label"], "prob", {"median_prob": 0.5}), "label")
 
 
 def cv_classify(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cellgrove.operators import qc
-from cellgrove.plans import kept
+from cellgrove.plans import kept, quantiles
 from cellgrove.queries.base import ORDERS, TISSUE, order_cells, order_genes, tissue
 from cellgrove.queries.sql import ATLAS, CELL
 from cellgrove.queries.sql import fold as sql_fold
@@ -60,8 +60,10 @@ def fov_assign(spark, d):
 
 def _fields(spark, d):
     c, f = _in_fields(spark, d)
-    per = c.where("region is not null").groupBy("space", "region").agg(F.count(F.lit(1)).alias("cells"), F.median("transcript_counts").alias("median_counts"), F.avg((F.col("transcript_counts") >= 20).cast("double")).alias("share_20"))
-    return f.select("space", "region").join(per, ["space", "region"], "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
+    c = kept(c.where("region is not null"))
+    mid = quantiles(c, ["space", "region"], "transcript_counts", {"median_counts": 0.5})
+    per = c.groupBy("space", "region").agg(F.count(F.lit(1)).alias("cells"), F.avg((F.col("transcript_counts") >= 20).cast("double")).alias("share_20"))
+    return f.select("space", "region").join(per, ["space", "region"], "left").join(mid, ["space", "region"], "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
 
 
 def fov_quality(spark, d):
@@ -121,7 +123,10 @@ def eligible(spark, d):
 
 def sub_cell_summary(spark, d):
     """One row per section: cells, sums, medians of counts and areas."""
-    return tissue(spark, d).groupBy("space").agg(F.count(F.lit(1)).alias("cells"), F.sum((F.col("transcript_counts") >= 10).cast("bigint")).alias("cells_10"), F.sum("transcript_counts").alias("counts"), F.median("transcript_counts").alias("median_counts"), F.median("cell_area").alias("median_area"))
+    t = kept(tissue(spark, d))
+    s = t.groupBy("space").agg(F.count(F.lit(1)).alias("cells"), F.sum((F.col("transcript_counts") >= 10).cast("bigint")).alias("cells_10"), F.sum("transcript_counts").alias("counts"))
+    a, b = quantiles(t, ["space"], "transcript_counts", {"median_counts": 0.5}), quantiles(t, ["space"], "cell_area", {"median_area": 0.5})
+    return s.join(a, "space", "left").join(b, "space", "left")
 
 
 QUERIES = {f.__name__: f for f in (qc_metrics, qc_flags, qc_rule_table, qc_kept, mad_bounds, fov_assign, fov_quality, fov_outliers, gene_detection, assigned_fraction, props_metrics, composition, log_histogram, eligible, sub_cell_summary)}

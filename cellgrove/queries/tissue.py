@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cellgrove.operators import neighbours as nb
 from cellgrove.operators import tissue as ts
-from cellgrove.plans import cut, kept
+from cellgrove.plans import cut, kept, quantiles
 from cellgrove.queries.base import DISTANCE, EDGES, TISSUE, tissue, vector_edges, vectors, with_distance
 
 EPS, LEAST_B, K = 30.0, 8, 3
@@ -27,7 +27,9 @@ def exclusion_on_positions(spark, d):
     c = kept(with_distance(tissue(spark, d)).where("not is_tumour and d is not null"))
     show = c.where(F.col("cell_type").isin("CD8 T (GZMK+)", "CD163+ macrophage", "Fibroblast"))
     each = show.unionByName(c.withColumn("cell_type", F.lit("baseline")))
-    return each.groupBy("cell_type").agg(F.round(F.median("d"), 6).alias("median_um"), F.round(100 * F.avg((F.col("d") <= 15).cast("double")), 6).alias("pct_contact"))
+    each = kept(each.select("cell_type", "d"))
+    near = each.groupBy("cell_type").agg(F.round(100 * F.avg((F.col("d") <= 15).cast("double")), 6).alias("pct_contact"))
+    return quantiles(each, ["cell_type"], "d", {"m": 0.5}).join(near, "cell_type").select("cell_type", F.round("m", 6).alias("median_um"), "pct_contact")
 
 
 def radius_neighbours(spark, d):
@@ -69,8 +71,9 @@ def graph_stats(spark, d):
     """Edge entries, median length, mean degree and isolated points of the graph."""
     e, n = vector_edges(spark, d), vectors(spark, d)
     deg = n.select("id").join(e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg")), "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
-    a = deg.agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("deg"), 6).alias("mean_degree"), F.median("deg").alias("median_degree"), F.sum((F.col("deg") == 0).cast("bigint")).alias("isolated"))
-    return a.join(e.agg(F.count(F.lit(1)).alias("entries"), F.round(F.median("dist"), 6).alias("median_um")))  # one row each
+    a = deg.agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("deg"), 6).alias("mean_degree"), F.sum((F.col("deg") == 0).cast("bigint")).alias("isolated"))
+    a = a.join(quantiles(deg, [], "deg", {"median_degree": 0.5}))  # one row each, here and below
+    return a.join(e.agg(F.count(F.lit(1)).alias("entries"))).join(quantiles(e, [], "dist", {"m": 0.5})).withColumn("median_um", F.round("m", 6)).drop("m")
 
 
 def khop_rings(spark, d):
@@ -174,7 +177,9 @@ def depth_in_nest(spark, d):
     """For tumour cells the median distance to the nearest non-tumour cell, per type and section."""
     c = kept(tissue(spark, d))
     n = nb.nearest(c.where("is_tumour"), c.where("not is_tumour")).join(c.select("id", "space", "cell_type"), "id")
-    return n.groupBy("space", "cell_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("dist"), 6).alias("depth_um"), F.round(F.percentile("dist", F.lit(0.9)), 6).alias("p90_um"))
+    n, by = kept(n.select("space", "cell_type", "dist")), ["space", "cell_type"]
+    q = quantiles(n, by, "dist", {"m": 0.5, "p": 0.9})
+    return n.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(q, by, "left").select(*by, "n", F.round("m", 6).alias("depth_um"), F.round("p", 6).alias("p90_um"))
 
 
 def name_domains(spark, d):

@@ -200,3 +200,23 @@ def test_models(spark):
     e = spark.createDataFrame([(a, b, 1.0) for g in (0, 10) for a in range(g, g + 5) for b in range(g, g + 5) if a != b], "src int, dst int, w double")
     c = {x.id: x.community for x in md.communities(e, spark.createDataFrame([(i,) for i in [*range(5), *range(10, 15)]], "id int")).collect()}
     assert len({c[i] for i in range(5)}) == 1 and len({c[i] for i in range(10, 15)}) == 1 and c[0] != c[10]
+
+
+def test_quantiles_equal_linear_interpolation(spark):
+    import numpy as np
+
+    from cellgrove.plans import quantiles
+
+    rng = random.Random(4)
+    data = [("hot" if i % 3 else f"g{i % 4}", round(rng.gauss(0, 3), 1)) for i in range(300)] + [("one", 7.0), (None, 1.0), (None, 2.0), ("none", None), ("hot", float("nan"))]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: (r.a, r.b) for r in quantiles(df, ["g"], "v", {"a": 0.5, "b": 0.9}).collect()}
+    by = {}
+    for g, v in data:
+        if v is not None and v == v:
+            by.setdefault(g, []).append(v)
+    assert set(got) == set(by)
+    for g, v in by.items():
+        assert got[g] == (pytest.approx(np.percentile(v, 50)), pytest.approx(np.percentile(v, 90)))
+    assert quantiles(df, [], "v", {"m": 0.5}).first().m == pytest.approx(np.median([v for x in by.values() for v in x]))
+    assert quantiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0 and quantiles(df.limit(0), [], "v", {"m": 0.5}).count() == 0
