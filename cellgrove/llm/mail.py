@@ -8,8 +8,11 @@ from __future__ import annotations
 import binascii
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+
 _HEADER = re.compile(r"([!-9;-~]+):[ \t]*(.*(?:\n[ \t].*)*)\n?")
 _BOUNDARY = re.compile(r'boundary\s*=\s*(?:"([^"]*)"|([^\s;]+))', re.I)
 _CHARSET = re.compile(r'charset\s*=\s*"?([\w.:-]+)', re.I)
@@ -22,6 +25,19 @@ _QUOTE = re.compile(r"^[ \t]*(?:[>|][ \t]?)+", re.M)
 WORD = re.compile(r"[^\W_]+")
 
 
+#: Characters of text that a task works on at once.
+CHUNK = 2_000_000
+
+
+def chunks(batches: Iterator[pd.DataFrame], column: str = "text", chars: int = CHUNK) -> Iterator[pd.DataFrame]:
+    """The rows of the batches in slices of about `chars` characters of text, so that memory does not follow the batch."""
+    for pdf in batches:
+        size = pdf[column].map(lambda t: len(t) if t else 0).to_numpy()
+        part = (size.cumsum() - size) // chars
+        for _, rows in pdf.groupby(part, sort=True):
+            yield rows
+
+
 @dataclass
 class Part:
     kind: str  # plain or html
