@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.mail import parts, unquoted, words
+from cellgrove.llm.mail import chunks, parts, unquoted, words
 
 RUN = 12
 EDITS = 1
@@ -156,14 +156,29 @@ def _aligned(items: Items, texts: list[str], text: np.ndarray, item: np.ndarray,
     return best >= items.least[item] - 3 * edits
 
 
+#: Longer texts are searched in pieces that overlap by the longest item, so that every passage lies whole in one.
+PIECE = 1 << 21
+
+
+def _pieces(text: str, overlap: int) -> Iterator[str]:
+    at = 0
+    while len(text) - at > PIECE + overlap:
+        end = text.find(" ", at + PIECE + overlap, at + 2 * PIECE + overlap)
+        yield text[at : end if end >= 0 else at + 2 * PIECE + overlap]
+        at = max(text.rfind(" ", at + 1, at + PIECE) + 1, 0) or at + PIECE
+    yield text[at:]
+
+
 def _leaks(items: Items, ids: np.ndarray, raws: list[str | None], run: int, edits: int) -> pd.DataFrame:
     owner, texts = [], []
+    overlap = max(map(len, items.texts)) + 2 * edits + 2
     for i, raw in enumerate(raws):
         for p in parts(raw):
             w = words(unquoted(p.text))
             if len(w) >= run:
-                owner.append(i)
-                texts.append(" ".join(w))
+                for piece in _pieces(" ".join(w), overlap):
+                    owner.append(i)
+                    texts.append(piece)
     hits = []
     if texts:
         text, item, diagonal = _candidates(items, texts, edits)
@@ -202,10 +217,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, edits: int =
         shipped = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for s in range(0, len(pdf), 500):
-                    part = pdf.iloc[s : s + 500]
-                    yield _leaks(shipped.value, part["doc_id"].to_numpy(), list(part["text"]), run, edits)
+            for part in chunks(batches):
+                yield _leaks(shipped.value, part["doc_id"].to_numpy(), list(part["text"]), run, edits)
 
         found = docs.mapInPandas(search, "doc_id bigint, item_id bigint")
         out = found if out is None else out.unionByName(found)

@@ -87,6 +87,16 @@ def test_leaks_equal_brute_force(spark, rows):
     assert n[50] == 0 and sum(n.values()) == len(want)
 
 
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    from cellgrove.llm import leaks
+
+    monkeypatch.setattr(leaks, "PIECE", 50)
+    text = " ".join(f"word{i}" for i in range(200))
+    cut = list(leaks._pieces(text, 30))
+    assert len(cut) > 5 and all(any(text[i : i + 30] in c for c in cut) for i in range(len(text) - 30))
+    assert cut[0].startswith("word0 ") and cut[-1].endswith("word199") and all(not c.startswith("ord") for c in cut)
+
+
 SAMPLES = {
     "en": "the report of the old house was there when they came with the other things that we have for you and the work goes on. please let me know whether this is the right one.",
     "de": "der bericht über das alte haus war nicht da als sie mit den anderen sachen kamen und die arbeit geht weiter. bitte sag mir ob das der richtige ist und wann ihr kommt.",
