@@ -125,7 +125,8 @@ LEAST_MARKERS = 7
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Profiles that share at least 7 marker names and the leading lineage, each with the first of its group."""
     rows = cut(_profiles(spark, folder))
-    groups = alike_groups(rows, cut(similarity_clusters(rows, LEAST_MARKERS)), LEAST_MARKERS)
+    # the seeds' clusters: a Lloyd step can draw a member of a hot group to a foreign centre by a shared rare marker
+    groups = alike_groups(rows, cut(similarity_clusters(rows, LEAST_MARKERS, iterations=0)), LEAST_MARKERS)
     return groups.select(F.col("id").alias("profile_id"), F.col("first").alias("cluster_first"))
 
 

@@ -106,6 +106,18 @@ def test_clusters_find_all_alike(spark):
     assert similarity_clusters(df.limit(0), 7).count() == 0
 
 
+def test_hot_group_keeps_members_that_share_a_tail(spark, tmp_path):
+    from cellgrove.llm.queries import p4_found
+
+    hot, tails = [f"h{k}" for k in range(7)], lambda g: [f"t{g}_{k}" for k in range(4)]
+    rows = [(g, hot + tails(g)) for g in range(45)]  # a third of the rows; each shares four rare markers with a foreign pair
+    rows += [(100 + 2 * g + j, [f"m{g}_{k}" for k in range(7)] + tails(g)) for g in range(45) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "profile_id bigint, markers array<string>").withColumns({"niche": F.lit("N1: Epithelial 90%"), "section_id": F.lit("s"), "sub": F.lit("x")})
+    df.write.parquet(f"{tmp_path}/sub_profiles.parquet")
+    got = {r.profile_id: r.cluster_first for r in p4_found(spark, str(tmp_path)).collect()}
+    assert got == {i: 0 if i < 100 else i - i % 2 for i, _ in rows}
+
+
 def test_samples_meet_targets_exactly(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice(["A", " a", "B", "b ", None]), rng.choice(["x", "y", ""])) for i in range(3000)] + [(None, "A", "x")]
