@@ -13,7 +13,7 @@ from cellgrove.queries.sql import ATLAS
 from cellgrove.queries.sql import fold as sql_fold
 from cellgrove.sources.tables import current_atlas
 
-PERMS = 20
+PERMS = 1000  # the reference's number
 
 
 def nhood_enrichment(spark, d):
