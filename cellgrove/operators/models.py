@@ -24,14 +24,17 @@ def wide(rows: DataFrame, key: str, name: str, value: str, names: list[str]) ->
     return m.select(key, array_to_vector(cells).alias("features"))
 
 
-def principal_components(df: DataFrame, k: int, clip: float | None = 10.0) -> tuple[DataFrame, list[float]]:
+def principal_components(df: DataFrame, k: int, clip: float | None = 10.0, weights: list[float] | None = None) -> tuple[DataFrame, list[float]]:
     """Adds pca (k numbers) of the standardised features, clipped; and the variance shares of the components.
 
-    A feature without spread becomes 0. Signs are those that Spark's eigenvectors happen to have.
+    weights, one per feature, multiply the standardised features. A feature without spread becomes 0. Signs are those
+    that Spark's eigenvectors happen to have.
     """
     scaled = StandardScaler(inputCol="features", outputCol="_s", withMean=True, withStd=True).fit(df).transform(df)
     if clip is not None:
         scaled = scaled.withColumn("_s", array_to_vector(F.transform(vector_to_array("_s"), lambda x: F.greatest(F.lit(-clip), F.least(F.lit(clip), x)))))
+    if weights is not None:
+        scaled = scaled.withColumn("_s", array_to_vector(F.zip_with(vector_to_array("_s"), F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w)))
     model = PCA(k=k, inputCol="_s", outputCol="_p").fit(scaled)
     return model.transform(scaled).withColumn("pca", vector_to_array("_p")).drop("_s", "_p"), list(model.explainedVariance)
 

@@ -86,19 +86,36 @@ def communities(spark, d):
     return md.communities(e, vectors(spark, d)).groupBy("community").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The reference's neighbours, chosen lambda and number of components.
+BANKSY_K, BANKSY_LAMBDA, BANKSY_PCS = 15, 0.8, 20
+
+
+def _around(spark, d, k, lam, genes=None):
+    near = nb.nearest_k(vectors(spark, d), k, 40.0).select("src", "dst", F.exp(-F.col("dist") * F.col("dist") / 1800.0).alias("w"))
+    v = vector_genes(spark, d)
+    v = (v if genes is None else v.where(F.col("gene").isin(genes))).select("id", "gene", F.log1p("cnt").alias("value"))
+    return md.neighbour_features(v, near, lam).select("id", "gene", F.round("own", 8).alias("own"), F.round("around", 8).alias("around"))
+
+
 def banksy_features(spark, d):
-    """Own and neighbour-weighted values of four genes, with Gaussian weights over the five nearest points."""
-    near = nb.nearest_k(vectors(spark, d), 5, 40.0).select("src", "dst", F.exp(-F.col("dist") * F.col("dist") / 1800.0).alias("w"))
-    v = vector_genes(spark, d).where(F.col("gene").isin("g3", "g4", "g5", "g6")).select("id", "gene", F.log1p("cnt").alias("value"))
-    return md.neighbour_features(v, near, 0.2).select("id", "gene", F.round("own", 8).alias("own"), F.round("around", 8).alias("around"))
+    """The part of banksy_matrix's method that SQL checks: four genes, five nearest points, lambda 0.2."""
+    return _around(spark, d, 5, 0.2, ["g3", "g4", "g5", "g6"])
+
+
+def banksy_matrix(spark, d):
+    """Own and neighbour-weighted values of all genes, with Gaussian weights over the 15 nearest points."""
+    return _around(spark, d, BANKSY_K, BANKSY_LAMBDA)
 
 
 def banksy(spark, d):
-    """Domains from those features: k-means on their principal components, in place of graph clustering."""
-    f = kept(banksy_features(spark, d))
+    """Domains from banksy_matrix: k-means on its principal components, in place of graph clustering."""
+    f = kept(banksy_matrix(spark, d))
     long = f.select("id", F.concat(F.lit("own_"), "gene").alias("k"), F.col("own").alias("v")).unionByName(f.select("id", F.concat(F.lit("near_"), "gene").alias("k"), F.col("around").alias("v")))
-    names = [f"{a}_g{i}" for a in ("near", "own") for i in (3, 4, 5, 6)]
-    p, _ = md.principal_components(kept(md.wide(long, "id", "k", "v", names)), 4)
+    genes = sorted(r.gene for r in f.select("gene").distinct().collect())  # the genes of a panel
+    names = [f"{a}_{g}" for a in ("near", "own") for g in genes]
+    # standardising undoes the factors of lambda, so they weight the standardised features
+    weights = [BANKSY_LAMBDA**0.5] * len(genes) + [(1 - BANKSY_LAMBDA) ** 0.5] * len(genes)
+    p, _ = md.principal_components(kept(md.wide(long, "id", "k", "v", names)), BANKSY_PCS, None, weights)
     w, _ = md.kmeans_labels(kept(p.select("id", array_to_vector("pca").alias("features"))), 4)
     return w.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
@@ -122,7 +139,7 @@ def transcript_windows(spark, d):
     return quality_stream(e).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "feature", "n", "passed")
 
 
-QUERIES = {f.__name__: f for f in (pca, kmeans_niches, gmm_autok, kmeans_agreement, atlas_classifier, cv_classify, cv_gene_r, communities, banksy_features, banksy, cellcharter_features, tile_blocks_split, transcript_windows)}
+QUERIES = {f.__name__: f for f in (pca, kmeans_niches, gmm_autok, kmeans_agreement, atlas_classifier, cv_classify, cv_gene_r, communities, banksy_features, banksy_matrix, banksy, cellcharter_features, tile_blocks_split, transcript_windows)}
 
 SQL = {
     "banksy_features": f"WITH {VECTORS}, k AS (SELECT a.id AS src, b.id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS rn FROM vec a JOIN vec b ON a.id <> b.id), w AS (SELECT src, dst, exp(-dist * dist / 1800.0) / sum(exp(-dist * dist / 1800.0)) OVER (PARTITION BY src) AS w FROM k WHERE rn <= 5), v AS (SELECT id, gene, ln(1 + cnt) AS value FROM vgene WHERE gene IN ('g3', 'g4', 'g5', 'g6')), m AS (SELECT src AS id, gene, sum(w * value) AS m FROM w JOIN v ON v.id = dst GROUP BY 1, 2) SELECT coalesce(v.id, m.id) AS id, coalesce(v.gene, m.gene) AS gene, round(sqrt(0.8) * coalesce(value, 0), 8) AS own, round(sqrt(0.2) * coalesce(m, 0), 8) AS around FROM v FULL JOIN m ON m.id = v.id AND m.gene = v.gene",
