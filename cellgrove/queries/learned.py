@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from cellgrove.functions import tile
@@ -46,9 +46,11 @@ def kmeans_niches(spark, d):
 
 
 def gmm_autok(spark, d):
-    """Stability of Gaussian mixtures over the number of components."""
-    f, _ = md.principal_components(kept(_features(spark, d)), 4)
-    return md.stable_mixtures(kept(f.select("id", array_to_vector("pca").alias("features"))), "id", [3, 5], 2)
+    """Stability of Gaussian mixtures on cellcharter_embedding for 4 to 12 components, three runs each; chosen marks the most stable."""
+    f = kept(cellcharter_embedding(spark, d).select("id", array_to_vector("embedding").alias("features")))
+    s = md.stable_mixtures(f, "id", list(range(4, 13)), 3)
+    best = s.orderBy(F.col("stability").desc(), "k").first().k
+    return s.withColumn("chosen", F.col("k") == best)
 
 
 def kmeans_agreement(spark, d):
@@ -120,8 +122,21 @@ def banksy(spark, d):
     return w.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+def cellcharter_embedding(spark, d):
+    """30 components of all genes for each point, followed by their means over its rings of neighbours 1 to 3; an empty ring gives zeros."""
+    from cellgrove.operators.matrix import log_normalised
+
+    x = log_normalised(vector_genes(spark, d).withColumnRenamed("id", "cell_id"), None)
+    names = [r.gene for r in x.select("gene").distinct().orderBy("gene").collect()]  # the genes of a panel
+    p, _ = md.principal_components(kept(md.wide(x, "cell_id", "gene", "lognorm", names)), 30)
+    v = cut(p.select(F.col("cell_id").alias("id"), F.posexplode("pca").alias("gene", "value")))
+    r = md.ring_means(v, cut(nb.rings(vector_edges(spark, d), 3))).withColumn("k", F.concat_ws("_", "layer", "gene"))
+    w = md.wide(r, "id", "k", "mean", [f"{layer}_{i}" for layer in range(4) for i in range(30)])
+    return w.select("id", vector_to_array("features").alias("embedding"))
+
+
 def cellcharter_features(spark, d):
-    """Mean of two genes over the point itself and its rings of neighbours 1 to 3, summed per ring."""
+    """The part of cellcharter_embedding's method that SQL checks: mean of two genes over the point itself and its rings of neighbours 1 to 3, summed per ring."""
     v = vector_genes(spark, d).where(F.col("gene").isin("g3", "g4")).select("id", "gene", F.log1p("cnt").alias("value"))
     r = md.ring_means(v, cut(nb.rings(vector_edges(spark, d), 3)))
     return r.groupBy("gene", "layer").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mean"), 6).alias("total"))
@@ -139,7 +154,7 @@ def transcript_windows(spark, d):
     return quality_stream(e).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "feature", "n", "passed")
 
 
-QUERIES = {f.__name__: f for f in (pca, kmeans_niches, gmm_autok, kmeans_agreement, atlas_classifier, cv_classify, cv_gene_r, communities, banksy_features, banksy_matrix, banksy, cellcharter_features, tile_blocks_split, transcript_windows)}
+QUERIES = {f.__name__: f for f in (pca, kmeans_niches, gmm_autok, kmeans_agreement, atlas_classifier, cv_classify, cv_gene_r, communities, banksy_features, banksy_matrix, banksy, cellcharter_embedding, cellcharter_features, tile_blocks_split, transcript_windows)}
 
 SQL = {
     "banksy_features": f"WITH {VECTORS}, k AS (SELECT a.id AS src, b.id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS rn FROM vec a JOIN vec b ON a.id <> b.id), w AS (SELECT src, dst, exp(-dist * dist / 1800.0) / sum(exp(-dist * dist / 1800.0)) OVER (PARTITION BY src) AS w FROM k WHERE rn <= 5), v AS (SELECT id, gene, ln(1 + cnt) AS value FROM vgene WHERE gene IN ('g3', 'g4', 'g5', 'g6')), m AS (SELECT src AS id, gene, sum(w * value) AS m FROM w JOIN v ON v.id = dst GROUP BY 1, 2) SELECT coalesce(v.id, m.id) AS id, coalesce(v.gene, m.gene) AS gene, round(sqrt(0.8) * coalesce(value, 0), 8) AS own, round(sqrt(0.2) * coalesce(m, 0), 8) AS around FROM v FULL JOIN m ON m.id = v.id AND m.gene = v.gene",

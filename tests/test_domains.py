@@ -62,3 +62,35 @@ def test_banksy_matrix_equals_brute_force(spark, folder):
             r = got.get((i, g))
             assert (r.own if r else 0) == pytest.approx(math.sqrt(0.2) * own[i, g], abs=1e-6)
             assert (r.around if r else 0) == pytest.approx(math.sqrt(0.8) * around[i, g], abs=1e-6)
+
+
+def test_cellcharter_embedding_and_mixtures(spark, folder, monkeypatch):
+    from cellgrove.queries.base import vector_edges
+
+    d, points = folder
+    asked = {}
+
+    def fits(df, key, ks, runs):
+        asked.update(rows={r.id: r.features.toArray() for r in df.collect()}, ks=ks, runs=runs)
+        return spark.createDataFrame([(k, 1.0 if k in (7, 9) else 0.5) for k in ks], "k int, stability double")
+
+    monkeypatch.setattr(md, "stable_mixtures", fits)
+    assert [r.k for r in learned.gmm_autok(spark, d).where("chosen").collect()] == [7]
+    e = asked["rows"]
+    assert asked["ks"] == list(range(4, 13)) and asked["runs"] == 3 and {len(v) for v in e.values()} == {120} and len(e) == len(points)
+    near = {i: set() for i in e}
+    for r in vector_edges(spark, d).collect():
+        near[r.src].add(r.dst)
+    for i in e:
+        seen, front = {i}, {i}
+        for layer in (1, 2, 3):
+            front = {j for k in front for j in near[k]} - seen
+            seen |= front
+            want = np.mean([e[j][:30] for j in front], axis=0) if front else np.zeros(30)
+            assert e[i][30 * layer : 30 * layer + 30] == pytest.approx(want, abs=1e-6)
+    own = np.array([e[i][:30] for i in sorted(e)])
+    counts = np.array([[max(math.floor(20 * v), 0) for v in p] for _, _, p in points], dtype=float)
+    x = np.log1p(counts / counts.sum(1, keepdims=True) * np.median(counts.sum(1)))
+    sd = x.std(0, ddof=1)
+    z = np.clip(np.where(sd > 0, (x - x.mean(0)) / np.where(sd > 0, sd, 1), 0), -10, 10)
+    assert own.var(0, ddof=1) == pytest.approx(np.linalg.svd(z - z.mean(0), compute_uv=False)[:30] ** 2 / (len(x) - 1), rel=1e-3)
