@@ -10,7 +10,9 @@ from cellgrove.plans import cut, kept
 
 
 def _placed(df: DataFrame) -> DataFrame:
-    return df.where("space is not null and id is not null and x is not null and y is not null and not isnan(x) and not isnan(y)")
+    inf = F.lit(float("inf"))
+    ok = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < inf) for c in ("x", "y")]
+    return df.where(F.col("space").isNotNull() & F.col("id").isNotNull() & ok[0] & ok[1])
 
 
 def radius_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
@@ -29,50 +31,101 @@ def radius_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFra
     return a.join(b, ["space", "_gx", "_gy"]).withColumn("dist", d).where(F.col("dist") <= radius).select("space", "src", "dst", "dist")
 
 
-def nearest(points: DataFrame, targets: DataFrame, first: float = 16.0, growth: float = 3.0) -> DataFrame:
+#: Side of the finest tiles of the nearest join, in the unit of the coordinates, and the factor from level to level.
+TILE, FACTOR = 24.0, 8
+
+
+def _levels(placed: DataFrame, side: str, levels: int) -> list[DataFrame]:
+    """Occupied tiles of every level, the finest first: space, <side>x, <side>y, <side>n, and the box of their points."""
+    x, y, n, box = f"{side}x", f"{side}y", f"{side}n", [f"{side}{b}" for b in ("x0", "x1", "y0", "y1")]
+    t = placed.groupBy("space", x, y).agg(F.count(F.lit(1)).alias(n), F.min("x").alias(box[0]), F.max("x").alias(box[1]), F.min("y").alias(box[2]), F.max("y").alias(box[3]))
+    out = [kept(t)]
+    for level in range(1, levels):
+        up = out[0].groupBy("space", F.floor(F.col(x) / FACTOR**level).alias(x), F.floor(F.col(y) / FACTOR**level).alias(y))
+        out.append(up.agg(F.sum(n).alias(n), F.min(box[0]).alias(box[0]), F.max(box[1]).alias(box[1]), F.min(box[2]).alias(box[2]), F.max(box[3]).alias(box[3])))
+    return out
+
+
+def _within_reach(points: DataFrame, targets: DataFrame, k: int, extent: float, size: float) -> DataFrame:
+    """space, px, py, tx, ty: for each occupied tile of points the target tiles that can hold one of its k nearest targets.
+
+    A descent over two pyramids of tiles at once: the farthest distances between the boxes of two tiles bound how far
+    the k-th nearest target can be, and target tiles that begin beyond it are dropped with all that lies in them. What
+    is left per tile is bounded by geometry, however far or however many the targets are; points are never paired here.
+    """
+    levels = 1
+    while size * FACTOR**levels < extent:
+        levels += 1
+    p, t = _levels(points, "p", levels), _levels(targets, "t", levels)
+    gap = lambda a: F.greatest(F.lit(0.0), F.col(f"t{a}0") - F.col(f"p{a}1"), F.col(f"p{a}0") - F.col(f"t{a}1"))
+    span = lambda a: F.greatest(F.col(f"t{a}1") - F.col(f"p{a}0"), F.col(f"p{a}1") - F.col(f"t{a}0"))
+    near, far = (F.sqrt(f("x") * f("x") + f("y") * f("y")) for f in (gap, span))
+    tile_of = Window.partitionBy("space", "px", "py")
+    held = F.sum("tn").over(tile_of.orderBy("far").rangeBetween(Window.unboundedPreceding, 0))
+    pairs = None
+    for level in range(levels - 1, -1, -1):
+        if pairs is None:
+            pairs = p[level].join(t[level], "space")  # an eighth of the largest space: some dozens of tiles each
+        else:
+            up = pairs.select("space", F.col("px").alias("ux"), F.col("py").alias("uy"), F.col("tx").alias("vx"), F.col("ty").alias("vy"))
+            one = p[level].withColumns({"ux": F.floor(F.col("px") / FACTOR), "uy": F.floor(F.col("py") / FACTOR)})
+            two = t[level].withColumns({"vx": F.floor(F.col("tx") / FACTOR), "vy": F.floor(F.col("ty") / FACTOR)})
+            pairs = up.join(two, ["space", "vx", "vy"]).join(one, ["space", "ux", "uy"])
+        pairs = pairs.withColumns({"near": near, "far": far})
+        if k > 1:
+            pairs = pairs.withColumn("held", held).withColumn("bound", F.min(F.when(F.col("held") >= k, F.col("far"))).over(tile_of))
+        else:
+            pairs = pairs.withColumn("bound", F.min("far").over(tile_of))
+        pairs = pairs.where(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-12))).select("space", "px", "py", "tx", "ty")
+    return pairs
+
+
+def _extent(*sides: DataFrame) -> float:
+    every = sides[0].select("space", "x", "y")
+    for s in sides[1:]:
+        every = every.unionByName(s.select("space", "x", "y"))
+    box = every.groupBy("space").agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("w"))
+    return box.agg(F.max("w")).first()[0] or 0.0
+
+
+def _near_pairs(points: DataFrame, targets: DataFrame, k: int, size: float) -> DataFrame:
+    """space, px, py, src, dst, dist: each point with all targets of the tiles within its tile's reach."""
+    at = lambda side: {f"{side}x": tile("x", size), f"{side}y": tile("y", size)}
+    # of targets on one spot only the k smallest ids can be among the k nearest
+    spot = Window.partitionBy("space", "x", "y").orderBy("id")
+    targets = kept(targets.withColumn("_rn", F.row_number().over(spot)).where(F.col("_rn") <= k).drop("_rn").withColumns(at("t")))
+    points = kept(points.withColumns(at("p")))
+    reach = _within_reach(points, targets, k, _extent(points, targets), size)
+    them = reach.join(targets.select("space", "tx", "ty", F.col("id").alias("dst"), F.col("x").alias("_x"), F.col("y").alias("_y")), ["space", "tx", "ty"])
+    both = points.select("space", "px", "py", F.col("id").alias("src"), "x", "y").join(them, ["space", "px", "py"])
+    d = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
+    return both.select("space", "px", "py", "src", "dst", d.alias("dist"))
+
+
+def nearest(points: DataFrame, targets: DataFrame, size: float = TILE) -> DataFrame:
     """id, target, dist: the nearest target of each point within its space; ties go to the smaller target.
 
-    Rings: a join within `first`, then `growth` times as far for the points that found nothing, and so on up to the
-    extent of the largest space. A point whose space has no target gets nulls; a point that is a target has distance 0.
+    points, targets: id, space, x, y; ids are unique. Points and targets are put into tiles, a descent over coarser
+    tiles finds the few target tiles that can hold the nearest target of a tile, and only those are joined. A point
+    whose space has no target gets nulls; a point that is a target has distance 0; points without a place are left out.
     """
-    points, targets = kept(_placed(points).select("id", "space", "x", "y")), kept(_placed(targets).select("id", "space", "x", "y"))
-    able = points.join(targets.select("space").distinct(), "space", "left_semi")
-    box = points.select("space", "x", "y").unionByName(targets.select("space", "x", "y")).groupBy("space").agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
-    extent = box.agg(F.max(F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h")))).first()[0] or 0.0
-    radius, left, found = first, able, None
-    while True:
-        hit = radius_pairs(left, targets, radius).groupBy(F.col("src").alias("id")).agg(F.min(F.struct("dist", "dst")).alias("n"))
-        hit = cut(hit.select("id", F.col("n.dst").alias("target"), F.col("n.dist").alias("dist")))
-        found = hit if found is None else found.unionByName(hit)
-        if radius > extent:
-            break
-        left = cut(left.join(hit, "id", "left_anti"))
-        if not left.limit(1).count():
-            break
-        radius *= growth
-    return points.select("id").join(found, "id", "left")
-
-
-def nearest_k(points: DataFrame, k: int, first: float) -> DataFrame:
+    points, targets = kept(_placed(points).select("id", "space", "x", "y")), _placed(targets).select("id", "space", "x", "y")
+    able = targets.select("space").distinct()
+    hit = _near_pairs(points, targets, 1, size).groupBy("space", "px", "py", F.col("src").alias("id")).agg(F.min(F.struct("dist", "dst")).alias("n"))
+    none = points.join(able, "space", "left_anti").select("id")
+    return hit.select("id", F.col("n.dst").alias("target"), F.col("n.dist").alias("dist")).unionByName(none, allowMissingColumns=True)
+
+
+def nearest_k(points: DataFrame, k: int, size: float = TILE) -> DataFrame:
     """src, dst, dist, rank: the k nearest other points of each point in its space, ties by id; fewer if there are no more.
 
-    A ring counts for a point once it holds k others, else the ring doubles, as in nearest.
+    As nearest, with the tiles that can hold one of the k + 1 nearest, the point itself included. Coincident points are
+    neighbours at distance 0.
     """
-    points = kept(_placed(points).select("id", "space", "x", "y"))
-    box = points.groupBy("space").agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).toDF("space", "w", "h")
-    extent = box.agg(F.max(F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h")))).first()[0] or 0.0
-    order = Window.partitionBy("src").orderBy("dist", "dst")
-    radius, left, out = first, points, None
-    while True:
-        pairs = radius_pairs(left, points, radius).where("src <> dst").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        pairs = cut(pairs.select("src", "dst", "dist", "rank"))
-        full = pairs.where(F.col("rank") == k).select(F.col("src").alias("id")) if radius <= extent else left.select("id")
-        done = pairs.join(full.withColumnRenamed("id", "src"), "src", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left = cut(left.join(full, "id", "left_anti"))
-        if radius > extent or not left.limit(1).count():
-            return out
-        radius *= 2
+    points = _placed(points).select("id", "space", "x", "y")
+    order = Window.partitionBy("space", "px", "py", "src").orderBy("dist", "dst")
+    pairs = _near_pairs(points, points, k + 1, size).where("src <> dst")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "dist", "rank")
 
 
 def neighbour_shares(points: DataFrame, radius: float, itself: bool) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrove.functions import ratio
+from cellgrove.operators.regions import points_in_regions
+from cellgrove.operators.regions import rectangles as upright_sides
 from cellgrove.plans import kept, quantiles
 
 MAD = 1.4826
@@ -65,9 +67,10 @@ def assign_rectangle(points: DataFrame, rectangles: DataFrame) -> DataFrame:
 
     points: id, space, x, y, ...; rectangles: space, region, ord, x, y, width, height.
     """
-    r = rectangles.select(F.col("space").alias("_s"), F.col("region").alias("_r"), F.col("ord").alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y"), "width", "height")
-    inside = (F.col("space") == F.col("_s")) & (F.col("x") >= F.col("_x")) & (F.col("x") < F.col("_x") + F.col("width")) & (F.col("y") >= F.col("_y")) & (F.col("y") < F.col("_y") + F.col("height"))
-    first = points.select("id", "space", "x", "y").join(r, inside).groupBy("id").agg(F.min_by("_r", "_o").alias("region"))
+    spots = points.select("space", F.col("id").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py"))
+    places = rectangles.select("space", F.struct(F.col("ord"), F.col("region")).alias("region_id"), "x", "y", "width", "height")
+    held = points_in_regions(spots, upright_sides(places), strip=200.0, width=200.0, boundary="half_open")
+    first = held.groupBy(F.col("point_id").alias("id")).agg(F.min("region_id")["region"].alias("region"))
     return points.join(first, "id", "left")
 
 

@@ -6,7 +6,7 @@ work by place. Bins that hold very many points are split by a salt, and only the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrove.functions import tile, uniform
@@ -89,28 +89,34 @@ def points_in_regions(points: DataFrame, edges: DataFrame, strip: float, width:
     return hits.select("space", "point_id", "px", "py", "region_id", *carry)
 
 
-def boxes(points: DataFrame, half: float) -> DataFrame:
+def boxes(points: DataFrame, half: Column | float, carry: list[str] = ()) -> DataFrame:
     """The upright sides of a square around each row (space, region_id, cx, cy), as edges for points_in_regions.
 
-    Level sides cross no level ray, so half-open parity needs none of them.
+    half: half a side, a number or a column. Level sides cross no level ray, so half-open parity needs none of them.
     """
-    half = F.lit(float(half))
+    half = half if isinstance(half, Column) else F.lit(float(half))
     sides = F.array(F.col("cx") - half, F.col("cx") + half)
-    return points.select("space", "region_id", "cx", "cy", (F.col("cx") - half).alias("region_left"), F.explode(sides).alias("x1")).select("space", "region_id", "cx", "cy", "region_left", "x1", (F.col("cy") - half).alias("y1"), F.col("x1").alias("x2"), (F.col("cy") + half).alias("y2"))
+    points = points.select("space", "region_id", "cx", "cy", *carry)
+    return points.select("space", "region_id", "cx", "cy", *carry, (F.col("cx") - half).alias("region_left"), half.alias("_half"), F.explode(sides).alias("x1")).select("space", "region_id", "cx", "cy", *carry, "region_left", "x1", (F.col("cy") - F.col("_half")).alias("y1"), F.col("x1").alias("x2"), (F.col("cy") + F.col("_half")).alias("y2"))
 
 
-def near_points(points: DataFrame, centres: DataFrame, distance: float, bin_rows: int = BIN_ROWS) -> DataFrame:
+def near_points(points: DataFrame, centres: DataFrame, distance: float | str, strip: float | None = None, bin_rows: int = BIN_ROWS) -> DataFrame:
     """All pairs of a point and a centre of the same space at most distance apart.
 
-    points: space, point_id, px, py. centres: space, region_id, cx, cy. Each centre becomes a square region that
-    holds its whole circle; crossing parity finds the points in it, the exact distance decides. Rows with a null or
-    non-finite coordinate or id match nothing; a point lies near itself if it is on both sides.
+    points: space, point_id, px, py. centres: space, region_id, cx, cy. distance is a number, or names a column of
+    centres; then strip is the width of the bins. Each centre becomes a square region that holds its whole circle;
+    crossing parity finds the points in it, the exact distance decides. Rows with a null or non-finite coordinate or id,
+    or a null distance, match nothing; a point lies near itself if it is on both sides.
     Returns space, point_id, region_id, distance.
     """
-    half = distance * (1 + 1e-9) + 1e-9
-    found = points_in_regions(points, boxes(centres, half), strip=4 * half, width=4 * half, boundary="half_open", carry=["cx", "cy"], bin_rows=bin_rows)
+    own = isinstance(distance, str)
+    reach = F.col(distance) if own else F.lit(float(distance))
+    carry = ["cx", "cy", *([distance] if own else [])]
+    strip = strip or 4 * (distance * (1 + 1e-9) + 1e-9)
+    sides = boxes(centres, reach * (1 + 1e-9) + 1e-9, [distance] if own else [])
+    found = points_in_regions(points, sides, strip=strip, width=strip, boundary="half_open", carry=carry, bin_rows=bin_rows)
     d = F.sqrt((F.col("px") - F.col("cx")) * (F.col("px") - F.col("cx")) + (F.col("py") - F.col("cy")) * (F.col("py") - F.col("cy")))
-    return found.withColumn("distance", d).where(F.col("distance") <= distance).select("space", "point_id", "region_id", "distance")
+    return found.withColumn("_d", d).where(F.col("_d") <= reach).select("space", "point_id", "region_id", F.col("_d").alias("distance"))
 
 
 def contacts_against_record(cells: DataFrame, contact: float = 15.0) -> DataFrame:

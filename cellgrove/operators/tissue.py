@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from cellgrove.functions import half_even, ratio, tile
 from cellgrove.operators.neighbours import dense_aggregates
+from cellgrove.operators.regions import near_points
 from cellgrove.plans import kept, quantiles, ranked
 
 CONTACT = 15
 PHENOTYPES = ("inflamed", "excluded", "desert")
 
 
-def infiltration(cells: DataFrame, contact: float = CONTACT) -> DataFrame:
-    """cell_type, n, median_um, pct_contact, pct_beyond_100, versus: how near each type lies to tumour cells.
+def infiltration(cells: DataFrame, shown: Column, contact: float = CONTACT) -> DataFrame:
+    """cell_type, n, median_um, pct_contact, pct_beyond_100, versus: how near each shown type lies to tumour cells.
 
-    cells: cell_type, is_tumour, d (distance to the nearest tumour cell). The baseline is the share of all non-tumour
-    cells within contact; a type is infiltrating above 1.2 and excluded below 0.8 of it, else similar.
+    cells: cell_type, is_tumour, d (distance to the nearest tumour cell) and what shown refers to: whether a cell's type
+    gets a row. The baseline is the share of all non-tumour cells within contact, shown or not; a type is infiltrating
+    above 1.2 and excluded below 0.8 of it, else similar. Tumour cells and cells without a distance count nowhere.
     """
     near = (F.col("d") <= contact).cast("double")
-    cells = kept(cells.where("not is_tumour and d is not null").select("cell_type", "d"))
+    cells = kept(cells.where("not is_tumour and d is not null").select("cell_type", "d", F.coalesce(shown, F.lit(False)).alias("shown")))
     base = cells.agg(F.avg(near).alias("base"))
+    cells = cells.where("shown")
     g = cells.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"), F.avg(near).alias("c"), F.avg((F.col("d") > 100).cast("double")).alias("far"))
     g = g.join(F.broadcast(base)).join(quantiles(cells, ["cell_type"], "d", {"median_um": 0.5}), "cell_type")  # base: one row
     versus = F.when(F.col("c") > F.col("base") * 1.2, "infiltrating").when(F.col("c") < F.col("base") * 0.8, "excluded").otherwise("similar")
@@ -79,10 +82,11 @@ def phenotype_by_programme(tiles: DataFrame) -> DataFrame:
 
 
 def sensitivity(tiles: DataFrame, deserts: tuple = (25, 50, 100), ratios: tuple = (0.3, 0.5, 0.7)) -> DataFrame:
-    """desert, ratio, and the percentage of tiles of each phenotype, for every pair of cutoffs."""
-    cut = F.explode(F.array(*[F.struct(F.lit(float(d)).alias("desert"), F.lit(float(r)).alias("ratio")) for d in deserts for r in ratios]))
-    t = tiles.withColumn("c", cut).select("*", "c.desert", "c.ratio").withColumn("phenotype", phenotype(F.col("desert"), F.col("ratio")))
-    return t.groupBy("desert", "ratio").agg(*[F.round(100 * F.avg((F.col("phenotype") == p).cast("double")), 6).alias(p) for p in PHENOTYPES])
+    """desert_below, least_ratio, and the percentage of tiles of each phenotype, for every pair of cutoffs."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(float(d)).alias("desert_below"), F.lit(float(r)).alias("least_ratio")) for d in deserts for r in ratios]))
+    t = tiles.select("total_density", "intra_density", "stroma_density", pairs.alias("c")).select("*", "c.*")
+    t = t.withColumn("phenotype", phenotype(F.col("desert_below"), F.col("least_ratio")))
+    return t.groupBy("desert_below", "least_ratio").agg(*[F.round(100 * F.avg((F.col("phenotype") == p).cast("double")), 6).alias(p) for p in PHENOTYPES])
 
 
 def two_names(shares: DataFrame, group: str, sure: float, least_second: float = 0.0) -> DataFrame:
@@ -109,8 +113,10 @@ def aggregates(cells: DataFrame, core_type: str, eps: float = 25, least: int = 2
     far = quantiles(label.join(centre, ["space", "cluster"]).withColumn("_away", away), ["space", "cluster"], "_away", {"_far": 0.9})
     radius = centre.join(far, ["space", "cluster"]).withColumn("radius", F.col("_far") + rim).drop("_far")
     circles = kept(ranked(radius, [], [F.col("n_core").desc(), F.col("cluster")], "rank"))
-    inside = cells.join(circles.drop("cluster"), "space").where(away <= F.col("radius"))
-    inside = kept(inside)
+    spots = cells.select("space", F.col("id").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py"))
+    near = near_points(spots, circles.select("space", F.col("rank").alias("region_id"), "cx", "cy", "radius"), "radius", strip=200.0)
+    held = near.select(F.col("point_id").alias("id"), F.col("region_id").alias("rank"))
+    inside = kept(held.join(cells.select("id", "cell_type", "lineage", "is_tumour"), "id").join(circles.drop("cluster"), "rank"))
     members = inside.groupBy("id").agg(F.concat(F.lit("A"), F.max("rank").cast("string")).alias("aggregate"))
     pct = lambda cond: F.round(100 * F.avg(cond.cast("double")), 6)
     table = inside.groupBy("rank", "space", "n_core", "cx", "cy", "radius").agg(F.count(F.lit(1)).alias("cells"), pct(F.col("cell_type") == core_type).alias("pct_core"), pct(F.col("lineage") == "T / NK").alias("pct_t_nk"), pct(F.col("is_tumour")).alias("pct_tumour"))

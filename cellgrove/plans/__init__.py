@@ -1,5 +1,5 @@
-from cellgrove.plans.lineage import cut, kept
+from cellgrove.plans.lineage import cut, few, kept, release
 from cellgrove.plans.quantiles import quantiles
 from cellgrove.plans.running import ranked, running_total
 
-__all__ = ["cut", "kept", "quantiles", "ranked", "running_total"]
+__all__ = ["cut", "few", "kept", "quantiles", "ranked", "release", "running_total"]

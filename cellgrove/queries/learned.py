@@ -93,7 +93,7 @@ BANKSY_K, BANKSY_LAMBDA, BANKSY_PCS = 15, 0.8, 20
 
 
 def _around(spark, d, k, lam, genes=None):
-    near = nb.nearest_k(vectors(spark, d), k, 40.0).select("src", "dst", F.exp(-F.col("dist") * F.col("dist") / 1800.0).alias("w"))
+    near = nb.nearest_k(vectors(spark, d), k).select("src", "dst", F.exp(-F.col("dist") * F.col("dist") / 1800.0).alias("w"))
     v = vector_genes(spark, d)
     v = (v if genes is None else v.where(F.col("gene").isin(genes))).select("id", "gene", F.log1p("cnt").alias("value"))
     return md.neighbour_features(v, near, lam).select("id", "gene", F.round("own", 8).alias("own"), F.round("around", 8).alias("around"))

@@ -14,7 +14,7 @@ EPS, LEAST_B, K = 30.0, 8, 3
 
 def infiltration(spark, d):
     """Which types keep away from tumour cells."""
-    return ts.infiltration(with_distance(tissue(spark, d)).where("in_time_types"))
+    return ts.infiltration(with_distance(tissue(spark, d)), F.col("in_time_types") | (F.col("cell_type") == "Fibroblast"))
 
 
 def distance_to_tumour(spark, d):
@@ -59,7 +59,7 @@ def neighbourhood_mean(spark, d):
 
 def knn_spatial(spark, d):
     """The three nearest other cells of each cell."""
-    return nb.nearest_k(tissue(spark, d), K, 25.0).select("src", "dst", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist"))
+    return nb.nearest_k(tissue(spark, d), K).select("src", "dst", F.col("rank").cast("int").alias("rank"), F.round("dist", 6).alias("dist"))
 
 
 def delaunay_edges(spark, d):
@@ -218,7 +218,7 @@ _BAND = "CASE WHEN agg THEN 'aggregate' WHEN d <= 15 THEN '<= 15 um' WHEN d <= 5
 _INF = "avg((d <= 15)::INT::DOUBLE)"
 
 SQL = {
-    "infiltration": f"WITH {DISTANCE}, b AS (SELECT {_INF} AS base FROM far WHERE NOT is_tumour AND d IS NOT NULL AND in_time_types) SELECT cell_type, count(*) AS n, round(median(d), 6) AS median_um, round(100 * {_INF}, 6) AS pct_contact, round(100 * avg((d > 100)::INT::DOUBLE), 6) AS pct_beyond_100, CASE WHEN {_INF} > any_value(base) * 1.2 THEN 'infiltrating' WHEN {_INF} < any_value(base) * 0.8 THEN 'excluded' ELSE 'similar' END AS versus FROM far, b WHERE NOT is_tumour AND d IS NOT NULL AND in_time_types GROUP BY 1",
+    "infiltration": f"WITH {DISTANCE}, b AS (SELECT {_INF} AS base FROM far WHERE NOT is_tumour AND d IS NOT NULL) SELECT cell_type, count(*) AS n, round(median(d), 6) AS median_um, round(100 * {_INF}, 6) AS pct_contact, round(100 * avg((d > 100)::INT::DOUBLE), 6) AS pct_beyond_100, CASE WHEN {_INF} > any_value(base) * 1.2 THEN 'infiltrating' WHEN {_INF} < any_value(base) * 0.8 THEN 'excluded' ELSE 'similar' END AS versus FROM far, b WHERE NOT is_tumour AND d IS NOT NULL AND (coalesce(in_time_types, false) OR cell_type = 'Fibroblast') GROUP BY 1",
     "distance_to_tumour": f"WITH {DISTANCE} SELECT id, round(d, 6) AS d FROM far",
     "exclusion_on_positions": f"WITH {DISTANCE}, c AS (SELECT * FROM far WHERE NOT is_tumour AND d IS NOT NULL), e AS (SELECT cell_type, d FROM c WHERE cell_type IN ('CD8 T (GZMK+)', 'CD163+ macrophage', 'Fibroblast') UNION ALL SELECT 'baseline', d FROM c) SELECT cell_type, round(median(d), 6) AS median_um, round(100 * {_INF}, 6) AS pct_contact FROM e GROUP BY 1",
     "radius_neighbours": f"WITH {TISSUE}, {_NEAR(15)} SELECT src AS id, count(*) AS n FROM near GROUP BY 1",
@@ -235,7 +235,7 @@ SQL = {
     "ratio_by_band": f"WITH RECURSIVE {_BANDED}, every AS (SELECT unnest(['aggregate', '<= 15 um', '15-50 um', '50-100 um', '> 100 um']) AS location) SELECT location, count(*) FILTER (WHERE cell_type = 'CD8 T (GZMK+)') AS numerator, count(*) FILTER (WHERE cell_type = 'CD163+ macrophage') AS denominator, round(count(*) FILTER (WHERE cell_type = 'CD8 T (GZMK+)') / nullif(count(*) FILTER (WHERE cell_type = 'CD163+ macrophage'), 0), 9) AS value FROM every LEFT JOIN (SELECT *, {_BAND} AS bd FROM banded) b ON bd = location GROUP BY 1",
     "tile_phenotypes": f"WITH {_TILED} SELECT space, tx, ty, tumour, intra, stroma, programme, round(intra_density, 4) AS intra_density, round(stroma_density, 4) AS stroma_density, round(total_density, 4) AS total_density, phenotype FROM t2",
     "phenotype_by_programme": f"WITH {_TILED} SELECT programme, {_PCT3}, count(*) AS tiles FROM t2 GROUP BY 1 UNION ALL SELECT 'All tumour tiles', {_PCT3}, count(*) FROM t2",
-    "phenotype_sensitivity": f"WITH {_TILED}, c AS (SELECT * EXCLUDE (phenotype), CASE WHEN total_density < desert THEN 'desert' WHEN intra_density >= ratio * stroma_density THEN 'inflamed' ELSE 'excluded' END AS phenotype FROM t2, (SELECT unnest([25.0, 50.0, 100.0])::DOUBLE AS desert), (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS ratio)) SELECT desert, ratio, {_PCT3} FROM c GROUP BY 1, 2",
+    "phenotype_sensitivity": f"WITH {_TILED}, c AS (SELECT * EXCLUDE (phenotype), CASE WHEN total_density < desert_below THEN 'desert' WHEN intra_density >= least_ratio * stroma_density THEN 'inflamed' ELSE 'excluded' END AS phenotype FROM t2, (SELECT unnest([25.0, 50.0, 100.0])::DOUBLE AS desert_below), (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS least_ratio)) SELECT desert_below, least_ratio, {_PCT3} FROM c GROUP BY 1, 2",
     "tile_labels": f"WITH {_TILED} SELECT t.space, coalesce(phenotype, 'not scored') AS phenotype, count(*) AS n FROM tiled t LEFT JOIN t2 ON t.space = t2.space AND t.tx = t2.tx AND t.ty = t2.ty GROUP BY 1, 2",
     "densest_contact_tile": f"WITH {TISSUE}, c AS (SELECT space, floor(x / 120)::BIGINT AS tx, floor(y / 120)::BIGINT AS ty, sum(is_tumour::INT)::BIGINT AS a, sum((cell_type = 'CD8 T (GZMK+)')::INT)::BIGINT AS b FROM tissue GROUP BY 1, 2, 3) SELECT space, tx, ty, n FROM (SELECT space, tx, ty, least(a, b) AS n, row_number() OVER (PARTITION BY space ORDER BY least(a, b) DESC, tx, ty) AS rn FROM c) WHERE rn = 1",
     "tiles_and_majority": f"WITH {TISSUE}, c AS (SELECT space, floor(x / 50)::BIGINT AS tx, floor(y / 50)::BIGINT AS ty, lineage, count(*) AS n FROM tissue GROUP BY 1, 2, 3, 4) SELECT space, tx, ty, 50.0::DOUBLE * tx + 25 AS x, 50.0::DOUBLE * ty + 25 AS y, cells, lineage FROM (SELECT *, sum(n) OVER (PARTITION BY space, tx, ty)::BIGINT AS cells, row_number() OVER (PARTITION BY space, tx, ty ORDER BY n DESC, lineage) AS rn FROM c) WHERE rn = 1 AND cells >= 5",
