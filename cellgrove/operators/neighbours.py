@@ -32,7 +32,7 @@ def radius_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFra
 
 
 #: Side of the finest tiles of the nearest join, in the unit of the coordinates, and the factor from level to level.
-TILE, FACTOR = 24.0, 8
+TILE, FACTOR = 24.0, 4
 
 
 def _levels(placed: DataFrame, side: str, levels: int) -> list[DataFrame]:
@@ -54,29 +54,31 @@ def _within_reach(points: DataFrame, targets: DataFrame, k: int, extent: float,
     is left per tile is bounded by geometry, however far or however many the targets are; points are never paired here.
     """
     levels = 1
-    while size * FACTOR**levels < extent:
+    while 8 * size * FACTOR ** (levels - 1) < extent:
         levels += 1
     p, t = _levels(points, "p", levels), _levels(targets, "t", levels)
     gap = lambda a: F.greatest(F.lit(0.0), F.col(f"t{a}0") - F.col(f"p{a}1"), F.col(f"p{a}0") - F.col(f"t{a}1"))
     span = lambda a: F.greatest(F.col(f"t{a}1") - F.col(f"p{a}0"), F.col(f"p{a}1") - F.col(f"t{a}0"))
     near, far = (F.sqrt(f("x") * f("x") + f("y") * f("y")) for f in (gap, span))
-    tile_of = Window.partitionBy("space", "px", "py")
-    held = F.sum("tn").over(tile_of.orderBy("far").rangeBetween(Window.unboundedPreceding, 0))
     pairs = None
     for level in range(levels - 1, -1, -1):
         if pairs is None:
-            pairs = p[level].join(t[level], "space")  # an eighth of the largest space: some dozens of tiles each
+            own = ["space", "px", "py"]
+            pairs = p[level].join(t[level], "space").withColumns({"near": near, "far": far})  # an eighth of the largest space: some dozens of tiles each
         else:
-            up = pairs.select("space", F.col("px").alias("ux"), F.col("py").alias("uy"), F.col("tx").alias("vx"), F.col("ty").alias("vy"))
+            own = ["space", "ux", "uy", "px", "py"]  # begins with the keys of the last join: no shuffle in between
+            up = pairs.select("space", F.col("px").alias("ux"), F.col("py").alias("uy"), F.col("tx").alias("vx"), F.col("ty").alias("vy"), F.col("bound").alias("most"))
             one = p[level].withColumns({"ux": F.floor(F.col("px") / FACTOR), "uy": F.floor(F.col("py") / FACTOR)})
             two = t[level].withColumns({"vx": F.floor(F.col("tx") / FACTOR), "vy": F.floor(F.col("ty") / FACTOR)})
-            pairs = up.join(two, ["space", "vx", "vy"]).join(one, ["space", "ux", "uy"])
-        pairs = pairs.withColumns({"near": near, "far": far})
+            pairs = up.join(two, ["space", "vx", "vy"]).join(one, ["space", "ux", "uy"]).withColumns({"near": near, "far": far})
+            pairs = pairs.where(F.col("most").isNull() | (F.col("near") <= F.col("most") * (1 + 1e-12)))
+        tile_of = Window.partitionBy(*own)
         if k > 1:
+            held = F.sum("tn").over(tile_of.orderBy("far").rangeBetween(Window.unboundedPreceding, 0))
             pairs = pairs.withColumn("held", held).withColumn("bound", F.min(F.when(F.col("held") >= k, F.col("far"))).over(tile_of))
         else:
             pairs = pairs.withColumn("bound", F.min("far").over(tile_of))
-        pairs = pairs.where(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-12))).select("space", "px", "py", "tx", "ty")
+        pairs = pairs.where(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-12))).select("space", "px", "py", "tx", "ty", "bound")
     return pairs
 
 

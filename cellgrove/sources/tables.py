@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellgrove.functions import finite, fold
 
 #: Steps read as named datasets; the names are files in the dataset folder.
-CATALOGUE = ("cells", "sections", "fov", "type_labels", "sub_profiles", "atlas_obs", "donor_links", "documents", "embeddings", "events", "lineitem", "orders", "customer", "part", "supplier", "nation", "region")
+CATALOGUE = ("cells", "sections", "fov", "type_labels", "sub_profiles", "atlas_obs", "donor_links", "sample_targets", "documents", "eval_items", "mix_targets", "embeddings", "events", "lineitem", "orders", "customer", "part", "supplier", "nation", "region")
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,11 +55,13 @@ def typed_cells(spark: SparkSession, folder: str, columns: list[str], position:
     df = df.withColumn("t", F.coalesce("ta", "tb")).drop("la", "lb", "ta", "tb")
     if position:
         px = read(spark, folder, "sections").select(F.col("section_id").alias("ps"), "px_um").where("section_id is not null").dropDuplicates(["ps"])
-        unit = fold("coord_unit")
+        # one projection per step: Spark then folds each unit once and not once for every place it is looked at
+        df = df.join(px, df.section_id == px.ps, "left").withColumn("_unit", fold("coord_unit"))
+        unit = F.col("_unit")
         scale = F.when(unit.isNull() | unit.isin("um", "µm", "μm"), F.lit(1.0)).when(unit == "mm", F.lit(1000.0)).when(unit == "px", F.col("px_um"))
-        df = df.join(px, df.section_id == px.ps, "left").withColumn("_x", finite(F.col("x") * scale)).withColumn("_y", finite(F.col("y") * scale))
-        both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
-        df = df.withColumn("x_um", F.when(both, F.col("_x"))).withColumn("y_um", F.when(both, F.col("_y")))
+        df = df.withColumn("_scale", scale).withColumns({"_x": F.col("x") * F.col("_scale"), "_y": F.col("y") * F.col("_scale")})
+        both = finite("_x").isNotNull() & finite("_y").isNotNull()
+        df = df.withColumns({"x_um": F.when(both, F.col("_x")), "y_um": F.when(both, F.col("_y"))})
     out = ["cell_id", "section_id", *[c for c in columns if c not in ("cell_id", "section_id")]]
     df = df.select(*dict.fromkeys([*out, "row_id", "loaded_at"]), *[F.col(f"t.{_KINDS[k]}").alias(k) for k in kinds], *(["x_um", "y_um"] if position else []))
     return current(df, "cell_id", [F.col("loaded_at").desc_nulls_last(), F.col("row_id").desc_nulls_last()])
