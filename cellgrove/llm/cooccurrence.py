@@ -11,8 +11,9 @@ from cellgrove.plans import kept
 
 #: An item in more than this share of its group's baskets is frequent: its bitmap is then smaller than its list.
 DENSE_SHARE = 1 / 32
-#: Baskets in one bit-matrix, and rare items of one basket in one block of its pairs.
-BLOCK_BASKETS = 16_384
+#: Rows in one block of baskets (a bit-matrix and the lists that probe it), and rare items of one basket in one block of
+#: its pairs. A basket with more rare items than a block has rows is probed by a join instead.
+BLOCK_ROWS = 262_144
 BLOCK_ITEMS = 256
 
 
@@ -52,7 +53,7 @@ def _block_counts(basket: list[str]):
     return count
 
 
-def item_pairs(rows: DataFrame, basket: list[str], min_count: int = 1, min_lift: float | None = None, dense_share: float = DENSE_SHARE, block_baskets: int = BLOCK_BASKETS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def item_pairs(rows: DataFrame, basket: list[str], min_count: int = 1, min_lift: float | None = None, dense_share: float = DENSE_SHARE, block_rows: int = BLOCK_ROWS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Counts, within each group, the baskets that hold both items of each pair, with the lift over chance.
 
     rows: grp, the basket columns, item STRING; other columns are ignored. Returns grp, item_a < item_b, n_ab, n_a,
@@ -63,8 +64,9 @@ def item_pairs(rows: DataFrame, basket: list[str], min_count: int = 1, min_lift:
     Frequent items (by dense_share of the group's baskets; at most 1 / dense_share times the mean basket's size of
     them) are counted from a bit-matrix per block of baskets, rare items probe it with their lists, and pairs of rare
     items are hashed and counted; the three are added up. Items that cannot reach min_count or min_lift with any
-    other are left out beforehand: n_ab is at most the smaller of n_a and n_b. Baskets with many rare items are
-    paired block by block, so that no basket is held whole.
+    other are left out beforehand: n_ab is at most the smaller of n_a and n_b. Blocks hold about block_rows rows,
+    however many baskets that is; the rare items of a basket that alone has more are joined to its frequent ones.
+    Pairs of rare items of one basket are formed block_items by block_items. So no basket is ever held whole.
     """
     inc = rows.select("grp", *basket, "item").where(F.col("grp").isNotNull() & F.col("item").isNotNull())
     for c in basket:
@@ -77,20 +79,27 @@ def item_pairs(rows: DataFrame, basket: list[str], min_count: int = 1, min_lift:
         able = able.where(F.col("n_item") * F.lit(float(min_lift)) <= F.col("n_baskets"))
     able = able.withColumn("frequent", F.col("n_item") > F.col("n_baskets") * F.lit(dense_share))
     able = kept(able)
-    marked = inc.join(able.select("grp", "item", "frequent", "n_baskets"), ["grp", "item"])
+    marked = kept(inc.join(able.select("grp", "item", "frequent"), ["grp", "item"]))
 
-    blocks = F.ceil(F.col("n_baskets") / block_baskets)
-    placed = marked.withColumn("block", F.pmod(F.xxhash64(*basket), blocks)).select("grp", "block", *basket, "item", "frequent")
+    rare = marked.where(~F.col("frequent")).select("grp", *basket, "item")
+    count = rare.groupBy("grp", *basket).agg(F.count(F.lit(1)).alias("n_rare")).where(F.col("n_rare") > min(block_items, block_rows))
+    count = kept(count)  # baskets with very many rare items only
+    wide = count.where(F.col("n_rare") > block_rows).select("grp", *basket, F.lit(True).alias("wide"))
+    placed = marked.join(wide, ["grp", *basket], "left").where(F.col("wide").isNull() | F.col("frequent"))
+    size_of = able.groupBy("grp").agg(F.ceil(F.sum("n_item") / block_rows).alias("blocks"))
+    placed = placed.join(size_of, "grp").withColumn("block", F.pmod(F.xxhash64(*basket), F.col("blocks"))).select("grp", "block", *basket, "item", "frequent")
     dense = placed.groupBy("grp", "block").applyInPandas(_block_counts(basket), "grp string, item_a string, item_b string, n bigint")
+    often = marked.where("frequent").join(wide, ["grp", *basket], "left_semi").select("grp", *basket, F.col("item").alias("other"))
+    mixed = rare.join(wide, ["grp", *basket], "left_semi").join(often, ["grp", *basket])
+    mixed = mixed.groupBy("grp", F.least("item", "other").alias("item_a"), F.greatest("item", "other").alias("item_b")).agg(F.count(F.lit(1)).alias("n"))
 
-    rare = marked.where(~F.col("frequent")).select("grp", *basket, "item")
-    size = rare.groupBy("grp", *basket).agg(F.ceil(F.count(F.lit(1)) / block_items).cast("int").alias("chunks")).where("chunks > 1")
+    size = count.where(F.col("n_rare") > block_items).select("grp", *basket, F.ceil(F.col("n_rare") / block_items).cast("int").alias("chunks"))
     rare = rare.join(size, ["grp", *basket], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
     left = rare.select("grp", *basket, F.col("item").alias("item_a"), F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
     right = rare.select("grp", *basket, F.col("item").alias("item_b"), F.col("chunk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
     hashed = left.join(right, ["grp", *basket, "i", "j"]).where("item_a < item_b").groupBy("grp", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))
 
-    pairs = dense.unionByName(hashed).groupBy("grp", "item_a", "item_b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_count)
+    pairs = dense.unionByName(mixed).unionByName(hashed).groupBy("grp", "item_a", "item_b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_count)
     one = able.select("grp", F.col("item").alias("item_a"), F.col("n_item").alias("n_a"), "n_baskets")
     two = able.select("grp", F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
     out = pairs.join(one, ["grp", "item_a"]).join(two, ["grp", "item_b"])

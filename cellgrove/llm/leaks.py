@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrove.llm.mail import chunks, parts, unquoted, words
+from cellgrove.plans import cut, kept
 
 RUN = 12
 EDITS = 1
-#: Characters of items whose index is broadcast at once; more items are searched for in further blocks.
-BLOCK_CHARS = 20_000_000
+#: The filter of q-grams that is sent to every task has 2 to this power bits at most (32 MB). More q-grams of items only
+#: let more positions through to the join, which decides.
+MOST_BITS = 28
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,124 +41,7 @@ def _qgrams(codes: np.ndarray, q: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-_BITS = 22
-
-
-@dataclass
-class Items:
-    """A block of items: their texts as words with one blank between, and the inverted list of their q-grams."""
-
-    ids: np.ndarray
-    texts: list[str]
-    q: int
-    least: np.ndarray  # of each item, the characters of its shortest passage that counts
-    bits: np.ndarray
-    keys: np.ndarray
-    first: np.ndarray
-    item: np.ndarray
-    at: np.ndarray
-    runs: list[list[str]]
-
-    @staticmethod
-    def index(rows: list[tuple[int, str | None]], run: int, edits: int) -> Items | None:
-        rows = [(i, w) for i, t in rows if i is not None and len(w := words(t or "")) >= run]
-        if not rows:
-            return None
-        windows = [[" ".join(w[k : k + run]) for k in range(len(w) - run + 1)] for _, w in rows]
-        least = np.array([min(map(len, ws)) for ws in windows])
-        q = int(max(3, min(16, least.min() // (edits + 2))))
-        texts = [" ".join(w) for _, w in rows]
-        grams = [_qgrams(_codes(t), q) for t in texts]
-        every = np.concatenate(grams)
-        item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
-        at = np.concatenate([np.arange(len(g)) for g in grams])
-        order = np.argsort(every, kind="stable")
-        keys, first = np.unique(every[order], return_index=True)
-        bits = np.zeros(1 << _BITS, dtype=bool)
-        bits[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        return Items(np.array([i for i, _ in rows]), texts, q, least, bits, keys, np.r_[first, len(every)], item[order].astype(np.int32), at[order].astype(np.int32), [[f" {x} " for x in ws] for ws in windows])
-
-
-def _candidates(items: Items, texts: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, diagonal) of every band that shares enough q-grams to hold a passage within the edit budget.
-
-    A passage of an item's `least` characters with at most `edits` edits shares least + 1 - q * (edits + 1) q-grams with its
-    item, all on diagonals that differ by at most `edits` and within its length; bands of 2 * (edits + 1) diagonals
-    overlap by half, so one of them holds them all.
-    """
-    none = np.zeros(0, dtype=np.int64)
-    needed = np.maximum(1, items.least + 1 - items.q * (edits + 1))
-    enough = needed.min()
-    joined = _codes("\n".join(texts))
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    starts = np.cumsum(np.r_[0, lengths[:-1] + 1])
-    h = _qgrams(joined, items.q)
-    pos = np.flatnonzero(items.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-    if not len(pos):
-        return none, none, none
-    k = np.minimum(np.searchsorted(items.keys, h[pos]), len(items.keys) - 1)
-    true = items.keys[k] == h[pos]
-    pos, k = pos[true], k[true]
-    # a passage needs so many hits in its stretch of text, whichever item they are of
-    reach = max(map(len, items.texts)) + edits
-    upto = np.searchsorted(pos, pos + reach, side="right") - np.searchsorted(pos, pos - reach, side="left")
-    pos, k = pos[upto >= enough], k[upto >= enough]
-    if not len(pos):
-        return none, none, none
-    n = items.first[k + 1] - items.first[k]
-    which = np.repeat(np.arange(len(pos)), n)
-    entry = np.repeat(items.first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    text = np.searchsorted(starts, pos[which], side="right") - 1
-    item, diagonal = items.item[entry].astype(np.int64), pos[which] - starts[text] - items.at[entry]
-    width, shift = 2 * (edits + 1), 1 << 30
-    found = []
-    for half in (0, edits + 1):
-        band = (diagonal + shift + half) // width
-        key = np.stack([text * len(items.texts) + item, band])
-        order = np.lexsort(key[::-1])
-        a, b = key[0][order], key[1][order]
-        # entries of a band stay in the order of the text: the one that completes the count has to be near enough
-        of = a % len(items.texts)
-        last = np.arange(len(a)) + needed[of] - 1
-        end = np.minimum(last, len(a) - 1)
-        p = pos[which[order]]
-        good = (last < len(a)) & (a[end] == a) & (b[end] == b) & (p[end] - p <= items.least[of] - items.q + edits)
-        found.append(np.stack([a[good], b[good] * width - shift - half]))
-    both = np.unique(np.concatenate(found, axis=1), axis=1)
-    return both[0] // len(items.texts), both[0] % len(items.texts), both[1]
-
-
-def _aligned(items: Items, texts: list[str], text: np.ndarray, item: np.ndarray, diagonal: np.ndarray, edits: int) -> np.ndarray:
-    """Which candidates hold an alignment in their band whose score a passage within the budget reaches.
-
-    Local alignment, match 1, mismatch or gap -2, of all candidates at once: one step per item character, one column
-    per diagonal of the band.
-    """
-    if not len(text):
-        return np.zeros(0, dtype=bool)
-    width = 2 * (edits + 1)
-    longest = max(len(items.texts[i]) for i in item)
-    a = np.zeros((len(text), longest), dtype=np.uint32)
-    b = np.ones((len(text), longest + width), dtype=np.uint32)
-    for r, (t, i, d) in enumerate(zip(text, item, diagonal, strict=True)):
-        x = _codes(items.texts[i])
-        a[r, : len(x)] = x
-        lo = max(0, d)
-        y = _codes(texts[t][lo : d + longest + width])
-        b[r, lo - d : lo - d + len(y)] = y
-    h = np.zeros((len(text), width + 2), dtype=np.int32)
-    best = np.zeros(len(text), dtype=np.int32)
-    for s in range(longest):
-        same = np.where(a[:, s : s + 1] == b[:, s : s + width], 1, -2)
-        new = np.maximum(0, np.maximum(h[:, 1:-1] + same, h[:, 2:] - 2))
-        for c in range(1, width):
-            new[:, c] = np.maximum(new[:, c], new[:, c - 1] - 2)
-        h[:, 1:-1] = new
-        best = np.maximum(best, new.max(axis=1))
-    return best >= items.least[item] - 3 * edits
-
-
-#: Longer texts are searched in pieces that overlap by the longest item, so that every passage lies whole in one.
+#: Longer texts are searched in pieces that overlap by the longest passage, so that every passage lies whole in one.
 PIECE = 1 << 21
 
 
@@ -169,60 +54,211 @@ def _pieces(text: str, overlap: int) -> Iterator[str]:
     yield text[at:]
 
 
-def _leaks(items: Items, ids: np.ndarray, raws: list[str | None], run: int, edits: int) -> pd.DataFrame:
-    owner, texts = [], []
-    overlap = max(map(len, items.texts)) + 2 * edits + 2
-    for i, raw in enumerate(raws):
-        for p in parts(raw):
-            w = words(unquoted(p.text))
+def _item_words(batches: Iterator[pd.DataFrame], run: int) -> Iterator[pd.DataFrame]:
+    """item_id, item (its words with one blank between), least and most characters of its runs of `run` words."""
+    for pdf in batches:
+        out = []
+        for i, t in zip(pdf["item_id"], pdf["text"], strict=True):
+            w = words(t or "")
             if len(w) >= run:
-                for piece in _pieces(" ".join(w), overlap):
-                    owner.append(i)
-                    texts.append(piece)
-    hits = []
-    if texts:
-        text, item, diagonal = _candidates(items, texts, edits)
-        ok = np.zeros(len(text), dtype=bool)
-        for s in range(0, len(text), 4_000):
-            part = slice(s, s + 4_000)
-            ok[part] = _aligned(items, texts, text[part], item[part], diagonal[part], edits)
-        for t, i, d in zip(text[ok].tolist(), item[ok].tolist(), diagonal[ok].tolist(), strict=True):
-            near = f" {texts[t]} "[max(0, d - 1) : d + len(items.texts[i]) + 2 * edits + 6]
-            if any(x in near for x in items.runs[i]):
-                hits.append((ids[owner[t]], items.ids[i]))
-    return pd.DataFrame(sorted(set(hits)), columns=["doc_id", "item_id"]).astype("int64")
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, edits: int = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id: mails with a text part that holds at least run consecutive words of an item.
+                sizes = np.convolve([len(x) for x in w], np.ones(run, dtype=int), "valid") + run - 1
+                out.append((i, " ".join(w), int(sizes.min()), int(sizes.max())))
+        yield pd.DataFrame(out, columns=["item_id", "item", "least", "most"])
+
+
+def _item_grams(batches: Iterator[pd.DataFrame], q: int) -> Iterator[pd.DataFrame]:
+    """item_id, needed, gram, at: the inverted list of the items' q-grams."""
+    for pdf in batches:
+        for i, t, needed in zip(pdf["item_id"], pdf["item"], pdf["needed"], strict=True):
+            g = _qgrams(_codes(t), q).view(np.int64)
+            yield pd.DataFrame({"item_id": i, "needed": needed, "gram": g, "at": np.arange(len(g), dtype=np.int32)})
+
+
+@dataclass
+class Search:
+    """What a task needs to know of the items: their q-grams as a set of hashed bits, and the bounds of a passage."""
+
+    q: int
+    edits: int
+    run: int
+    bits: int
+    filter: np.ndarray
+    enough: int  # q-grams that the least demanding passage shares with its item
+    most: int  # characters of the longest passage
+
+
+def _regions(s: Search, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, str]]:
+    """(text, start, positions, q-grams, region): the parts of texts where the items' q-grams lie close enough.
+
+    A passage needs `enough` of them within its length, whichever item they are of. Positions and start are characters
+    of the text; the region reaches a passage's length beyond the first and the last of its q-grams.
+    """
+    joined = _codes("\n".join(texts))
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    starts = np.cumsum(np.r_[0, lengths[:-1] + 1])
+    h = _qgrams(joined, s.q)
+    slot = (h >> np.uint64(64 - s.bits)).astype(np.int64)
+    pos = np.flatnonzero(s.filter[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+    reach = s.most + s.edits
+    near = np.searchsorted(pos, pos + reach, side="right") - np.searchsorted(pos, pos - reach, side="left")
+    pos = pos[near >= s.enough]
+    if not len(pos):
+        return
+    text = np.searchsorted(starts, pos, side="right") - 1
+    cuts = np.flatnonzero((text[1:] != text[:-1]) | (np.diff(pos) > reach)) + 1
+    for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pos)], strict=True):
+        if b - a >= s.enough:
+            t = int(text[a])
+            p = pos[a:b] - starts[t]
+            lo, hi = max(0, int(p[0]) - reach), int(p[-1]) + s.q + reach
+            yield t, lo, p.astype(np.int32), h[pos[a:b]].view(np.int64), texts[t][lo:hi]
+
+
+def _search(batches: Iterator[pd.DataFrame], s: Search) -> Iterator[pd.DataFrame]:
+    """Every mail is decoded here, once: doc_id, start, region, positions and q-grams of its regions."""
+    for pdf in chunks(batches):
+        owner, texts = [], []
+        for i, raw in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for p in parts(raw):
+                w = words(unquoted(p.text))
+                if len(w) >= s.run:
+                    for piece in _pieces(" ".join(w), s.most + 2 * s.edits + 2):
+                        owner.append(i)
+                        texts.append(piece)
+        if texts:
+            rows = [(owner[t], lo, region, p, g) for t, lo, p, g, region in _regions(s, texts)]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "region", "positions", "grams"])
+
+
+#: Cells of the alignment's tables that a task holds at once.
+CELLS = 4_000_000
+
+
+def _fewest_edits(patterns: list[str], texts: list[str], edits: int) -> np.ndarray:
+    """For each pattern the fewest edits (at most edits + 1 stands for more) with which it lies in its text.
+
+    texts: what the pattern's band covers, starting edits + 1 characters before the pattern would on the first diagonal
+    of the band, so that all ways of an occurrence lie within 4 (edits + 1) diagonals. Edit distance with free ends in the text, all pairs at once: one step per character of the pattern, one column per diagonal.
+    """
+    width = 4 * (edits + 1)
+    n, m = len(patterns), max(map(len, patterns))
+    a = np.zeros((n, m), dtype=np.uint32)
+    b = np.ones((n, m + width), dtype=np.uint32)
+    for r, (x, y) in enumerate(zip(patterns, texts, strict=True)):
+        a[r, : len(x)] = _codes(x)
+        y = y[: m + width]
+        b[r, : len(y)] = _codes(y)
+    size = np.array([len(x) for x in patterns])
+    big = edits + 1
+    d = np.zeros((n, width + 1), dtype=np.int16)  # the last column is the edge of the band
+    d[:, -1] = big
+    best = np.full(n, big, dtype=np.int16)
+    for i in range(m):
+        new = d[:, :-1] + (a[:, i : i + 1] != b[:, i : i + width])
+        new = np.minimum(new, d[:, 1:] + 1)  # a character of the pattern is missing in the text
+        for c in range(1, width):
+            new[:, c] = np.minimum(new[:, c], new[:, c - 1] + 1)  # one too many there
+        d[:, :-1] = np.minimum(new, big)
+        ends = size == i + 1
+        best[ends] = d[ends, :-1].min(axis=1)
+    return best
+
+
+def _able_runs(batches: Iterator[pd.DataFrame], run: int, edits: int, q: int) -> Iterator[pd.DataFrame]:
+    """rid, item_id, diagonal, firsts, lasts: the runs of the item's words that have as many of the band's q-grams (they
+    begin at ats, characters of the item) as an occurrence within the budget shares; bands without any are dropped."""
+    for pdf in batches:
+        out = []
+        for rid, item_id, item, diagonal, ats in pdf[["rid", "item_id", "item", "diagonal", "ats"]].itertuples(index=False):
+            ends = np.r_[-1, np.flatnonzero(np.frombuffer(item.encode("utf-32-le"), dtype=np.uint32) == 32), len(item)]
+            first, last = ends[:-run] + 1, ends[run:]
+            held = np.searchsorted(ats, last - q, side="right") - np.searchsorted(ats, first, side="left")
+            able = held >= np.maximum(1, last - first + 1 - q * (edits + 1))
+            if able.any():
+                out.append((rid, item_id, diagonal, first[able], last[able]))
+        yield pd.DataFrame(out, columns=["rid", "item_id", "diagonal", "firsts", "lasts"])
+
+
+def _verified(batches: Iterator[pd.DataFrame], edits: int) -> Iterator[pd.DataFrame]:
+    """doc_id, item_id, edits of the candidates whose alignment in the band stays within the budget.
+
+    doc_id, start, region, item_id, item, diagonal, firsts, lasts: those runs of the item's words are looked for in the
+    region, on the diagonals of the band. Runs that stand there letter for letter need no alignment.
+    """
+    for pdf in batches:
+        out, waiting, cells = [], [], 0
+
+        def align(out=out):
+            fewest = _fewest_edits([w[1] for w in waiting], [w[2] for w in waiting], edits)
+            out += [(*w[0], int(e)) for w, e in zip(waiting, fewest, strict=True) if e <= edits]
+
+        for doc, start, region, item_id, item, diagonal, firsts, lasts in pdf[["doc_id", "start", "region", "item_id", "item", "diagonal", "firsts", "lasts"]].itertuples(index=False):
+            own, text = f" {item} ", f" {region} "
+            shift = diagonal - start + 1  # of a character of the item in the padded region
+            slack = edits + 1
+            runs = [(a - 1 + shift - slack, own[a : b + 2]) for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True)]
+            around = [text[max(0, at) : at + len(r) + 4 * slack] for at, r in runs]
+            if any(r in t for (_, r), t in zip(runs, around, strict=True)):
+                out.append((doc, item_id, 0))
+                continue
+            for (at, r), t in zip(runs, around, strict=True) if edits else ():
+                waiting.append(((doc, item_id), r, "\1" * max(0, -at) + t))
+                cells += len(r) + 4 * slack
+            if cells > CELLS:
+                align()
+                waiting, cells = [], 0
+        if waiting:
+            align()
+        yield pd.DataFrame(out, columns=["doc_id", "item_id", "edits"])
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, edits: int = EDITS) -> DataFrame:
+    """doc_id, item_id, edits: mails with a text part that holds at least run consecutive words of an item, with the
+    fewest changed, missing or additional characters (0 to the parameter edits) of such a passage.
 
     docs: doc_id, text (raw mails, read whole). items: item_id, text. Words are runs of letters and digits, case
-    ignored; parts are compared as their words with one blank between. Q-grams of all parts are looked up in the
-    items' index; bands of diagonals with enough common q-grams for a passage of run words with at most `edits`
-    changed characters are aligned, and what aligns is checked word by word. Null or empty texts hold nothing, items of
-    fewer than run words cannot leak; repeated mails and repeated items are reported each; mails without an id are left
-    out. The items are the stated query set: they are indexed in blocks of at most block_chars characters, one
-    broadcast each, and each block is searched for in all mails.
+    ignored; parts are compared as their words with one blank between. The q-grams of all items are an inverted list
+    that Spark builds. Every mail is decoded once, in the pass that keeps the regions dense in q-grams of any item
+    (known by a bit set); their q-grams are joined with the list and counted per item in overlapping bands of diagonals.
+    Bands with as many as a passage within the edit budget shares are aligned. Null or empty texts hold nothing, items
+    of fewer than run words cannot leak; repeated mails and repeated items count once per id; those without an id are
+    left out.
     """
     spark = docs.sparkSession
-    sizes = items.where(F.col("item_id").isNotNull()).agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
-    blocks = max(1, -(-(sizes[0] or 0) // block_chars))
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    out = None
-    for b in range(blocks):
-        rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").toLocalIterator()]
-        index = Items.index(rows, run, edits)
-        if index is None:
-            continue
-        shipped = spark.sparkContext.broadcast(index)
-
-        def search(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            for part in chunks(batches):
-                yield _leaks(shipped.value, part["doc_id"].to_numpy(), list(part["text"]), run, edits)
-
-        found = docs.mapInPandas(search, "doc_id bigint, item_id bigint")
-        out = found if out is None else out.unionByName(found)
-    return (out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint")).distinct()
+    own = items.where("item_id is not null and text is not null").select("item_id", "text")
+    own = cut(own.mapInPandas(lambda b: _item_words(b, run), "item_id bigint, item string, least int, most int"))
+    bound = own.agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum(F.length("item")).alias("chars")).first()
+    if bound.least is None:
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint, edits int")
+    q = int(max(3, min(16, bound.least // (edits + 2))))
+    # a passage of `least` characters with so many edits shares least + 1 - q * (edits + 1) q-grams with its item
+    needed = F.greatest(F.lit(1), F.col("least") + 1 - q * (edits + 1))
+    grams = own.select("item_id", "item", needed.cast("int").alias("needed")).mapInPandas(lambda b: _item_grams(b, q), "item_id bigint, needed int, gram bigint, at int")
+    grams = kept(grams)
+    bits = min(MOST_BITS, max(16, int(bound.chars).bit_length() + 4))
+    slot = F.shiftrightunsigned("gram", 64 - bits)
+    octets = grams.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 8).cast("int").alias("octet")).agg(F.expr("bit_or(shiftleft(1, cast(s % 8 as int)))").alias("v")).toPandas()  # at most 2^bits / 8 rows
+    known = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    known[octets["octet"].to_numpy()] = octets["v"].to_numpy()
+    enough = max(1, int(bound.least) + 1 - q * (edits + 1))
+    shipped = spark.sparkContext.broadcast(Search(q, edits, run, bits, known, enough, int(bound.most)))
+
+    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    regions = texts.mapInPandas(lambda b: _search(b, shipped.value), "doc_id bigint, start int, region string, positions array<int>, grams array<bigint>")
+    regions = cut(regions.withColumn("rid", F.monotonically_increasing_id()))
+
+    width = 2 * (edits + 1)  # bands of twice the budget's diagonals overlap by half: one holds all q-grams of a passage
+    hits = regions.select("rid", F.explode(F.arrays_zip("positions", "grams")).alias("h")).select("rid", F.col("h.positions").alias("pos"), F.col("h.grams").alias("gram"))
+    hits = hits.join(grams, "gram").withColumn("half", F.explode(F.array(F.lit(0), F.lit(edits + 1))))
+    band = F.floor((F.col("pos") - F.col("at") + F.col("half")) / width).cast("bigint")
+    hits = hits.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid", "item_id")  # for the grouping and the tasks behind it
+    bands = hits.groupBy("rid", "item_id", "needed", "half", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("at")).alias("ats")).where("n >= needed")  # ats: at most the region's length
+    first = F.col("band") * width - F.col("half")
+    texts_of = own.select("item_id", "item")
+    able = bands.select("rid", "item_id", first.alias("diagonal"), "ats").join(texts_of, "item_id").mapInPandas(lambda b: _able_runs(b, run, edits, q), "rid bigint, item_id bigint, diagonal bigint, firsts array<int>, lasts array<int>")
+    found = able.join(regions.select("rid", "doc_id", "start", "region"), "rid").join(texts_of, "item_id")
+    sure = found.mapInPandas(lambda b: _verified(b, edits), "doc_id bigint, item_id bigint, edits int")
+    return sure.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ Small helpers on one text each; Spark partitions the texts and calls them from m
 from __future__ import annotations
 
 import binascii
+import codecs
 import html
 import re
 from collections.abc import Iterator
@@ -55,9 +56,14 @@ def _headers(raw: str) -> tuple[dict[str, str], int]:
 
 
 def _bytes_to_text(data: bytes, charset: str) -> str:
+    """The bytes in the named charset; under an unknown name in UTF-8, and where that does not fit in Latin-1."""
     try:
-        return data.decode("utf-8" if "8859" not in charset else "iso-8859-1")
-    except UnicodeDecodeError:
+        charset = codecs.lookup(charset).name
+    except LookupError:
+        charset = "utf-8"
+    try:
+        return data.decode(charset)
+    except (UnicodeDecodeError, LookupError):  # LookupError: a codec that is none of characters
         return data.decode("iso-8859-1")
 
 

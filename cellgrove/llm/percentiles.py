@@ -38,12 +38,13 @@ def percentiles(counts: DataFrame, groups: list[str], shares: dict[str, float])
     the target rank ceil(share * n). An empty summary gives no rows.
 
     Counts are range-sorted by group and value; running sums inside each range plus the offset of the ranges before
-    it give cumulative counts, so a group that holds most of the rows is still spread over many tasks.
+    it give cumulative counts, so a group that holds most of the rows is still spread over many tasks. The summary is
+    computed once.
     """
-    cum = running_total(counts, groups, ["value"], "n", "upto")
-    totals = counts.groupBy(*groups).agg(F.sum("n").alias("n_values"))
-    on = reduce(lambda a, b: a & b, [cum[g].eqNullSafe(totals[g]) for g in groups]) if groups else F.lit(True)
-    both = cum.join(totals, on).select(*[cum[g] for g in groups], "value", "n", "upto", "n_values")
+    cum = running_total(counts, groups, ["value"], "n", "upto")  # written once: totals and picks read it, not counts
+    totals = cum.groupBy(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(groups)]).agg(F.max("upto").alias("n_values"))
+    on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(groups)]) if groups else F.lit(True)
+    both = cum.join(totals, on).select(*groups, "value", "upto", "n_values")
     reach = lambda share: F.greatest(F.lit(1), F.ceil(F.lit(float(share)) * F.col("n_values")))
     picks = [F.min(F.when(F.col("upto") >= reach(s), F.col("value"))).alias(name) for name, s in shares.items()]
     return both.groupBy(*groups).agg(F.max("n_values").alias("n_values"), *picks)

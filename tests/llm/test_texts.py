@@ -78,15 +78,56 @@ def test_leaks_equal_brute_force(spark, rows):
     it = [(i, " ".join(w), "t") for i, w in items.items()] + [(50, "too short to leak", "t"), (51, None, "t"), (None, "x", "t")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string")
     f = spark.createDataFrame(it, "item_id bigint, text string, suite string")
-    got = leaked_items(df, f)
+    got = leaked_items(df, f).where("edits = 0").select("doc_id", "item_id")
     assert rows(got) == sorted(want, key=repr)
-    assert rows(leaked_items(df, f, block_chars=600)) == sorted(want, key=repr)  # items in several blocks
-    assert rows(leaked_items(df, f, edits=0)) == sorted(want, key=repr)
+    assert rows(leaked_items(df, f, edits=0)) == sorted(((*x, 0) for x in want), key=repr)
+    assert rows(leaked_items(df, f, edits=2).where("edits = 0").select("doc_id", "item_id")) == sorted(want, key=repr)
     assert leaked_items(df.limit(0), f).count() == 0 and leaked_items(df, f.limit(0)).count() == 0
     n = {r.item_id: r.n_docs for r in leak_report(got, f.where("item_id is not null")).collect()}
     assert n[50] == 0 and sum(n.values()) == len(want)
 
 
+def test_passages_with_edits_are_found(spark):
+    rng = random.Random(5)
+    items = {i: passage(rng, 40) for i in range(1, 6)}
+    docs, want = [], {}
+    for d in range(60):
+        i, e = 1 + d % 5, d % 4  # 0 to 3 edits, all within every run of 12 words: in the middle of 14
+        s = rng.randint(0, 26)
+        piece = " ".join(items[i][s : s + 14])
+        middle = [k for k in range(len(piece) // 2 - 6, len(piece) // 2 + 6) if piece[k] != " "]
+        for k in sorted(rng.sample(middle, e), reverse=True):
+            piece = piece[:k] + rng.choice(["", "q", "q" + piece[k]]) + piece[k + 1 :]
+        docs.append((d, "Subject: s\n\n" + " ".join([*passage(rng, 20), piece, *passage(rng, 20)])))
+        want[d, i] = e
+    df, f = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+
+    def apart(pattern, text, most):  # fewest edits with which the pattern lies in the text
+        d = [0] * (len(text) + 1)
+        for i, a in enumerate(pattern, 1):
+            new = [i]
+            for j, b in enumerate(text, 1):
+                new.append(min(d[j - 1] + (a != b), d[j] + 1, new[-1] + 1))
+            d = new
+        return min(d)
+
+    true = {}
+    for (d, i), e in want.items():
+        text = " " + " ".join(mail.words(docs[d][1].split("\n\n", 1)[1])) + " "
+        true[d, i] = min(apart(" " + " ".join(items[i][k : k + 12]) + " ", text, 3) for k in range(29)) if e else 0
+    for most in (0, 1, 2):
+        got = {(r.doc_id, r.item_id): r.edits for r in leaked_items(df, f, edits=most).collect()}
+        assert got == {k: e for k, e in true.items() if e <= most}
+
+
+def test_charsets_are_looked_up():
+    for name in ("windows-1252", "koi8-r", "utf-16", "ISO-8859-15", "no-such-charset"):
+        text = "дом" if name == "koi8-r" else "déjà"
+        data = base64.b64encode(text.encode(name if name != "no-such-charset" else "utf-8")).decode()
+        assert mail.parts(f"Content-Type: text/plain; charset={name}\nContent-Transfer-Encoding: base64\n\n{data}")[0].text == text
+    assert mail.parts("Content-Type: text/plain; charset=hex\nContent-Transfer-Encoding: base64\n\n" + base64.b64encode(b"abc").decode())[0].text == "abc"
+
+
 def test_long_texts_are_cut_without_loss(monkeypatch):
     from cellgrove.llm import leaks
 
