@@ -80,6 +80,7 @@ def test_leaks_equal_brute_force(spark, rows):
     f = spark.createDataFrame(it, "item_id bigint, text string, suite string")
     got = leaked_items(df, f).where("edits = 0").select("doc_id", "item_id")
     assert rows(got) == sorted(want, key=repr)
+    assert rows(leaked_items(df, f, block_chars=600).where("edits = 0").select("doc_id", "item_id")) == sorted(want, key=repr)  # items in several blocks
     assert rows(leaked_items(df, f, edits=0)) == sorted(((*x, 0) for x in want), key=repr)
     assert rows(leaked_items(df, f, edits=2).where("edits = 0").select("doc_id", "item_id")) == sorted(want, key=repr)
     assert leaked_items(df.limit(0), f).count() == 0 and leaked_items(df, f.limit(0)).count() == 0
