@@ -1,3 +1,3 @@
-from cellgrove.functions.columns import finite, fold, half_even, ratio, tile, uniform
+from cellgrove.functions.columns import chi2_tail, finite, fold, half_even, normal_tail, ratio, t_two_sided, tile, uniform
 
-__all__ = ["finite", "fold", "half_even", "ratio", "tile", "uniform"]
+__all__ = ["chi2_tail", "finite", "fold", "half_even", "normal_tail", "ratio", "t_two_sided", "tile", "uniform"]

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellgrove.functions import ratio, uniform
+from cellgrove.functions import ratio, t_two_sided, uniform
+from cellgrove.operators.stats import benjamini_hochberg
 from cellgrove.plans import kept, quantiles
 
 
@@ -98,8 +97,9 @@ def pseudobulk(expr: DataFrame, cells: DataFrame, domains: tuple[str, str], leas
 
 
 def paired_change(bulk: DataFrame, domains: tuple[str, str]) -> DataFrame:
-    """gene, base_mean, log2fc, t, n: per block the difference of log2(1 + counts per million) of the two domains, and
-    the paired t statistic over blocks. A plain paired test, named as such: no count model is fitted."""
+    """gene, base_mean, log2fc, t, n, p, q: per block the difference of log2(1 + counts per million) of the two domains,
+    the paired t statistic over blocks with its two-sided p, and the false discovery rate over genes. A plain paired
+    test, named as such: no count model is fitted."""
     cpm = bulk.withColumn("cpm", 1e6 * F.col("cnt") / F.sum("cnt").over(Window.partitionBy("block", "domain")))
     wide = cpm.groupBy("block", "gene").agg(*[F.coalesce(F.max(F.when(F.col("domain") == d, F.log2(1 + F.col("cpm")))), F.lit(0.0)).alias(c) for d, c in zip(domains, "ab", strict=True)], F.sum("cnt").alias("c"))
     n = bulk.select("block").distinct().count()
@@ -107,7 +107,7 @@ def paired_change(bulk: DataFrame, domains: tuple[str, str]) -> DataFrame:
     g = wide.groupBy("gene").agg(F.sum(d).alias("s"), F.sum(d * d).alias("ss"), (F.sum("c") / (2.0 * n)).alias("base_mean"))
     mean = F.col("s") / n
     sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("ss") - n * mean * mean) / (n - 1)))
-    return g.select("gene", "base_mean", mean.alias("log2fc"), ratio(mean, sd / F.sqrt(F.lit(float(n)))).alias("t"), F.lit(n).alias("n"))
+    return g.select("gene", "base_mean", mean.alias("log2fc"), ratio(mean, sd / F.sqrt(F.lit(float(n)))).alias("t"), F.lit(n).alias("n")).transform(lambda x: benjamini_hochberg(x.withColumn("p", t_two_sided("t", n - 1)), "p"))
 
 
 def called_genes(first: DataFrame, second: DataFrame, foreign: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -183,5 +183,33 @@ def palette_groups(df: DataFrame, key: str, label: str, colours: int = 20) -> Da
     return df.join(ranks, label).select(key, F.col(label).alias("grp"), ((F.col("_r") - 1) % colours).cast("int").alias("colour"))
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def equal_sample(df: DataFrame, label: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """Exactly n rows per label, as balanced_sample draws them; a label with fewer rows is a ValueError that names it."""
+    short = df.groupBy(label).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") < n).orderBy(label).limit(5).collect()
+    if short:
+        raise ValueError(f"fewer than {n} rows: " + ", ".join(str(r[0]) for r in short))
+    return balanced_sample(df, label, key, n, seed)
+
+
+def grouped_caps(df: DataFrame, group: str, label: str, key: str, percent: int, most_train: int = 5000, most_test: int = 1000, seed: int = 0) -> DataFrame:
+    """The rows of a training and a test set: groups held out by hash, and of each label at most so many drawn rows on
+    each side. Adds held_out."""
+    d = held_out_groups(df, group, percent, seed)
+    return balanced_sample(d.where("not held_out"), label, key, most_train, seed).unionByName(balanced_sample(d.where("held_out"), label, key, most_test, seed))
+
+
+def mixed_spillover(first: DataFrame, second: DataFrame, groups: DataFrame, partners: DataFrame, top: int = 6) -> DataFrame:
+    """As spillover, for the `top` largest groups (ties to the smaller name) that have partners (grp, foreign, gene)."""
+    large = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "grp").limit(top).select("grp")
+    return spillover(first, second, groups.join(large, "grp", "left_semi"), partners.join(large, "grp", "left_semi"))
+
+
+def renamed_counts(expr: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counts, cells) of a second segmentation under the ids of the cells it started from: counts (cell_id, gene, cnt)
+    and cells (original_id, x, y, area, volume, transcript_counts, 0 without any). cells: cell_id, original_id, x, y,
+    area, volume. Cells without an original id are left out."""
+    ids = cells.where("original_id is not null")
+    counts = expr.join(ids.select("cell_id", "original_id"), "cell_id").select(F.col("original_id").cast("string").alias("cell_id"), "gene", "cnt")
+    total = counts.groupBy("cell_id").agg(F.sum("cnt").cast("bigint").alias("transcript_counts"))
+    own = ids.select(F.col("original_id").cast("string").alias("cell_id"), "x", "y", "area", "volume")
+    return counts, own.join(total, "cell_id", "left").withColumn("transcript_counts", F.coalesce("transcript_counts", F.lit(0)))

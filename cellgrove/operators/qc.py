@@ -55,6 +55,14 @@ def qc_flags(cells: DataFrame, min_counts: int = 10, min_genes: int = 5, area_nm
     return out.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in rule.items()}).drop("_low", "_high")
 
 
+def within_bounds(cells: DataFrame, min_counts: int = 10, min_genes: int = 5, area_nmads: float = 3.0) -> DataFrame:
+    """The cells with at least min_counts transcripts and min_genes genes whose area lies within its MAD bounds, the
+    bounds included; the rules for counts without control probes. A null value fails."""
+    bounds = mad_bounds(cells, "cell_area", area_nmads).select(F.col("low").alias("_low"), F.col("high").alias("_high"))
+    ok = (F.col("transcript_counts") >= min_counts) & (F.col("n_genes") >= min_genes) & F.col("cell_area").between(F.col("_low"), F.col("_high"))
+    return cells.join(F.broadcast(bounds)).where(ok).drop("_low", "_high")  # one row
+
+
 def rule_table(flags: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
     """rule, flagged, pct, only_this: cells each rule flags, their percentage, and those that no other rule flags."""
     broken = sum((F.col(r).cast("int") for r in rules), F.lit(0))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellgrove.functions import ratio
+from cellgrove.functions import chi2_tail, normal_tail, ratio
 from cellgrove.plans import kept, ranked, running_total
 
 
@@ -103,11 +103,12 @@ def interaction_matrix(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def morans_i(values: DataFrame, edges: DataFrame, cells: DataFrame) -> DataFrame:
-    """gene, moran: N / W * sum w z_i z_j / sum z^2 with weights that add up to 1 over each cell's neighbours.
+    """gene, moran, z, p, q: N / W * sum w z_i z_j / sum z^2 with weights that add up to 1 over each cell's neighbours.
 
     values: id, gene, value with zeros absent; edges: src, dst both ways; cells: id. Cells without neighbours have no
     weights. The zeros are never written out: z is split into value and mean, and sums over present values, edges and
-    weights give the rest. Null where a gene does not vary.
+    weights give the rest. Null where a gene does not vary. z and p compare with the expectation -1 / (N - 1) under
+    normality, p one-sided on the side of z, q is its false discovery rate over the genes.
     """
     n = cells.agg(F.count(F.lit(1)).cast("double").alias("n"))
     w = kept(edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "src").select("src", "dst", (1.0 / F.col("deg")).alias("w")))
@@ -120,7 +121,24 @@ def morans_i(values: DataFrame, edges: DataFrame, cells: DataFrame) -> DataFrame
     out = stat.join(cross, "gene", "left").join(n).join(total)  # one row each
     m = F.col("s") / F.col("n")
     top = F.coalesce("c", F.lit(0.0)) - m * F.col("ws") + m * m * F.col("sw")
-    return out.select("gene", ratio(F.col("n") * top, F.col("sw") * (F.col("ss") - F.col("n") * m * m)).alias("moran"))
+    both = w.join(w.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("w").alias("back")), ["src", "dst"], "full")
+    s1 = both.agg((F.sum(F.pow(F.coalesce("w", F.lit(0.0)) + F.coalesce("back", F.lit(0.0)), 2)) / 2).alias("s1"))
+    ends = weight_in.join(weight_out, "id", "full")
+    s2 = ends.agg(F.sum(F.pow(F.coalesce("win", F.lit(0.0)) + F.coalesce("wout", F.lit(0.0)), 2)).alias("s2"))
+    out = out.withColumn("moran", ratio(F.col("n") * top, F.col("sw") * (F.col("ss") - F.col("n") * m * m))).select("gene", "moran", "n", "sw").join(s1).join(s2)  # one row each
+    n_, mean = F.col("n"), -1 / (F.col("n") - 1)
+    var = (n_ * n_ * F.col("s1") - n_ * F.col("s2") + 3 * F.col("sw") * F.col("sw")) / ((n_ * n_ - 1) * F.col("sw") * F.col("sw")) - mean * mean
+    out = out.withColumn("z", ratio(F.col("moran") - mean, F.sqrt(F.greatest(var, F.lit(0.0)))))
+    return benjamini_hochberg(out.select("gene", "moran", "z", normal_tail(F.abs("z")).alias("p")), "p")
+
+
+def at_distance(bands: DataFrame, edges_um: list[float], wanted: list[float]) -> DataFrame:
+    """a, b, wanted, upto, ratio: of each pair of labels the band whose far edge is nearest to each wanted distance; ties
+    go to the nearer band."""
+    far = F.element_at(F.array(*[F.lit(float(x)) for x in edges_um[1:]]), F.col("band") + 1)
+    d = bands.withColumn("upto", far).withColumn("wanted", F.explode(F.array(*[F.lit(float(x)) for x in wanted])))
+    near = F.min_by(F.struct("upto", "ratio"), F.struct(F.abs(F.col("upto") - F.col("wanted")), F.col("upto")))
+    return d.groupBy("a", "b", "wanted").agg(near.alias("m")).select("a", "b", "wanted", "m.upto", "m.ratio")
 
 
 def co_occurrence(pairs: DataFrame, edges_um: list[float]) -> DataFrame:
@@ -198,11 +216,12 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def rank_sum_markers(values: DataFrame, groups: DataFrame) -> DataFrame:
-    """gene, grp, n, mean_in, mean_out, u, z, log2fc: rank sums of each group against all other cells.
+    """gene, grp, n, mean_in, mean_out, u, z, log2fc, p, q: rank sums of each group against all other cells.
 
     values: id, gene, value > 0 (zeros absent); groups: id, grp. All zeros tie at the bottom, and are counted, not
     written out: a present value ranks after the gene's zeros, each zero has the mean rank of the zeros. z is the
-    normal approximation with the correction for ties; log2fc compares means of expm1 with 1e-9 added.
+    normal approximation with the correction for ties; log2fc compares means of expm1 with 1e-9 added; p is two-sided, q its
+    false discovery rate over the genes of the group. A gene without spread has null z, p and q.
     """
     size = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     total = groups.agg(F.count(F.lit(1)).alias("t"))
@@ -221,12 +240,22 @@ def rank_sum_markers(values: DataFrame, groups: DataFrame) -> DataFrame:
     tie = F.col("tie") + zeros.cast("double") * zeros * zeros - zeros
     var = F.col("n") * rest / 12.0 * (F.col("t") + 1 - tie / (F.col("t").cast("double") * (F.col("t") - 1)))
     mean_in, mean_out = ratio("e", "n"), ratio(F.col("all_e") - F.col("e"), rest)
-    return g.select("gene", "grp", "n", mean_in.alias("mean_in"), mean_out.alias("mean_out"), u.alias("u"), F.when(var > 0, (u - F.col("n") * rest / 2.0) / F.sqrt(var)).alias("z"), F.log2((mean_in + 1e-9) / (mean_out + 1e-9)).alias("log2fc"))
+    return g.select("gene", "grp", "n", mean_in.alias("mean_in"), mean_out.alias("mean_out"), u.alias("u"), F.when(var > 0, (u - F.col("n") * rest / 2.0) / F.sqrt(var)).alias("z"), F.log2((mean_in + 1e-9) / (mean_out + 1e-9)).alias("log2fc")).transform(lambda d: benjamini_hochberg(d.withColumn("p", 2 * normal_tail(F.abs("z"))), "p", ["grp"]))
+
+
+def best_markers(markers: DataFrame, n: int, most_q: float = 0.01, least_log2fc: float = 1.0) -> DataFrame:
+    """grp, markers: the first n genes of each group by falling z (ties by name) among those with q below most_q and
+    log2fc above least_log2fc, joined by commas. A group without any has no row."""
+    w = Window.partitionBy("grp").orderBy(F.col("z").desc(), "gene")
+    m = markers.where((F.col("q") < most_q) & (F.col("log2fc") > least_log2fc)).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    return m.groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "gene"))), lambda x: x["gene"]), ", ").alias("markers"))
 
 
 def chi_square(counts: DataFrame, by: list[str]) -> DataFrame:
-    """by, chi2, dof of the table a by b of n; null where a margin is 0 or there is one row or column only."""
+    """by, chi2, dof, p of the table a by b of n; chi2 is null and p is 1 where a margin is 0 or there is one row or
+    column only. Cells of the table that are missing have to be there as 0."""
     n = counts.withColumn("ra", F.sum("n").over(Window.partitionBy(*by, "a"))).withColumn("rb", F.sum("n").over(Window.partitionBy(*by, "b"))).withColumn("t", F.sum("n").over(Window.partitionBy(*by)))
     e = F.col("ra").cast("double") * F.col("rb") / F.col("t")
     out = n.groupBy(*by).agg(F.sum(ratio((F.col("n") - e) * (F.col("n") - e), e)).alias("chi2"), F.min(e).alias("least"), ((F.countDistinct("a") - 1) * (F.countDistinct("b") - 1)).alias("dof"))
-    return out.select(*by, F.when((F.col("least") > 0) & (F.col("dof") > 0), F.col("chi2")).alias("chi2"), "dof")
+    out = out.select(*by, F.when((F.col("least") > 0) & (F.col("dof") > 0), F.col("chi2")).alias("chi2"), "dof")
+    return out.withColumn("p", F.coalesce(chi2_tail("chi2", "dof"), F.lit(1.0)))

@@ -89,6 +89,14 @@ def sensitivity(tiles: DataFrame, deserts: tuple = (25, 50, 100), ratios: tuple
     return t.groupBy("desert_below", "least_ratio").agg(*[F.round(100 * F.avg((F.col("phenotype") == p).cast("double")), 6).alias(p) for p in PHENOTYPES])
 
 
+def tile_numbers(cells: DataFrame, least: int) -> DataFrame:
+    """Adds number: that of the cell's tile among the tiles of at least `least` cells, in order of space, tx and ty from
+    0, and -1 in smaller tiles. cells: space, tx, ty."""
+    big = cells.groupBy("space", "tx", "ty").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    numbered = ranked(big, [], ["space", "tx", "ty"], "_rank").select("space", "tx", "ty", (F.col("_rank") - 1).alias("number"))
+    return cells.join(numbered, ["space", "tx", "ty"], "left").withColumn("number", F.coalesce("number", F.lit(-1)))
+
+
 def two_names(shares: DataFrame, group: str, sure: float, least_second: float = 0.0) -> DataFrame:
     """group, name, from group, label, share: the largest label and its percentage, with the second one unless the
     first reaches `sure` or the second is below `least_second`. Ties go to the smaller label, halves to the even."""

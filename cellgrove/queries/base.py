@@ -70,9 +70,9 @@ def order_cells(spark: SparkSession, folder: str) -> DataFrame:
     return per.join(o, "cell_id")
 
 
-def order_genes(spark: SparkSession, folder: str) -> DataFrame:
-    """cell_id, gene, cnt: quantity of each brand in an order."""
-    line = read(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(read(spark, folder, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+def order_genes(spark: SparkSession, folder: str, least: int = 0) -> DataFrame:
+    """cell_id, gene, cnt: quantity of each brand in an order, of lines with at least so many items."""
+    line = read(spark, folder, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", "l_partkey", "l_quantity").join(read(spark, folder, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return line.groupBy(F.col("l_orderkey").alias("cell_id"), F.col("p_brand").alias("gene")).agg(F.sum("l_quantity").alias("cnt"))
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from cellgrove.functions import fold
 from cellgrove.operators import stats as st
 from cellgrove.operators.neighbours import radius_pairs
-from cellgrove.plans import cut, kept
+from cellgrove.plans import kept
 from cellgrove.queries.base import EDGES, TISSUE, VECTORS, tissue, vector_edges, vector_genes, vectors
 from cellgrove.queries.sql import ATLAS
+from cellgrove.queries.sql import chi2_tail, fdr, normal_tail
 from cellgrove.queries.sql import fold as sql_fold
 from cellgrove.sources.tables import current_atlas
 
@@ -47,7 +48,7 @@ def interaction_matrix(spark, d):
 def moran_i(spark, d):
     """Moran's I of every gene on the neighbour graph."""
     v = vector_genes(spark, d).select("id", "gene", F.col("cnt").alias("value"))
-    return st.morans_i(v, vector_edges(spark, d), vectors(spark, d).select("id")).select("gene", F.round("moran", 8).alias("moran"))
+    return st.morans_i(v, vector_edges(spark, d), vectors(spark, d).select("id")).select("gene", F.round("moran", 8).alias("moran"), F.round("z", 6).alias("z"), F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
 
 
 BANDS = [5.0, 50.0, 100.0, 200.0, 300.0]
@@ -82,30 +83,37 @@ def wilcoxon_markers(spark, d):
     """Rank sums of every gene and lineage against the other cells, zeros included."""
     v = vector_genes(spark, d).select("id", "gene", F.log1p("cnt").alias("value"))
     g = vectors(spark, d).select("id", F.col("lineage").alias("grp"))
-    return st.rank_sum_markers(v, kept(g)).select("gene", "grp", "n", F.round("u", 3).alias("u"), F.round("z", 7).alias("z"), F.round("log2fc", 7).alias("log2fc"))
+    return st.rank_sum_markers(v, kept(g)).select("gene", "grp", "n", F.round("u", 3).alias("u"), F.round("z", 7).alias("z"), F.round("log2fc", 7).alias("log2fc"), F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
 
 
 def top_markers(spark, d):
-    """The three strongest marker genes of each lineage, in order."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("grp").orderBy(F.round("z", 7).desc(), "gene")
-    m = wilcoxon_markers(spark, d).where("z > 0").withColumn("rn", F.row_number().over(w)).where("rn <= 3")
-    return m.groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "gene"))), lambda x: x["gene"]), ", ").alias("markers"))
+    """The five strongest marker genes of each cell type (q below 0.05, log2 fold change above 0.1), in order."""
+    v = vector_genes(spark, d).select("id", "gene", F.log1p("cnt").alias("value"))
+    g = vectors(spark, d).select("id", F.col("cell_type").alias("grp"))
+    return st.best_markers(st.rank_sum_markers(v, kept(g)).withColumn("z", F.round("z", 7)), 5, 0.05, 0.1)
 
 
 def bh_fdr(spark, d):
-    """False discovery rates of the types' chi-square-like p values, as a table of results."""
-    t = tissue(spark, d).groupBy("cell_type", "space").agg(F.count(F.lit(1)).alias("n"))
-    return st.benjamini_hochberg(t.withColumn("p", 1.0 / (1 + F.col("n"))), "p", ["space"]).select("cell_type", "space", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
+    """False discovery rates of the sections' chi-square tests of lineage against niche."""
+    return st.benjamini_hochberg(_chi(spark, d), "p").select("space", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
 
 
-def chi_square(spark, d):
-    """Chi-square statistic of lineage against tumour contact niche per section."""
+def _chi(spark, d):
     c = tissue(spark, d).where("niche is not null").groupBy("space", F.col("lineage").alias("a"), F.col("niche").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     full = c.groupBy("space").agg(F.collect_set("a").alias("as"), F.collect_set("b").alias("bs")).select("space", F.explode("as").alias("a"), "bs").select("space", "a", F.explode("bs").alias("b"))
     c = full.join(c, ["space", "a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return st.chi_square(c, ["space"]).select("space", F.round("chi2", 6).alias("chi2"), "dof")
+    return st.chi_square(c, ["space"])
+
+
+def chi_square(spark, d):
+    """Chi-square test of lineage against niche per section."""
+    return _chi(spark, d).select("space", F.round("chi2", 6).alias("chi2"), "dof", F.round("p", 9).alias("p"))
+
+
+def co_occurrence_at(spark, d):
+    """The co-occurrence ratio of the first lineage around each other one, in the bands nearest to three distances."""
+    bands = st.co_occurrence(_labelled_pairs(spark, d, BANDS[-1]), BANDS).where("b = 'l0'")
+    return st.at_distance(bands, BANDS, [20, 100, 300]).select("a", "wanted", "upto", F.round("ratio", 8).alias("ratio"))
 
 
 def _two_labels(spark, d):
@@ -149,8 +157,7 @@ def ligrec(spark, d):
     return out.select("ligand", "receptor", "a", "b", F.round("score", 8).alias("score"), F.round((1 + F.coalesce("ge", F.lit(0))) / (PERMS + 1), 9).alias("p"))
 
 
-QUERIES = {f.__name__: f for f in (nhood_enrichment, top_pairs, contact_test, interaction_matrix, moran_i, co_occurrence, ripley, spearman, wilcoxon_markers, top_markers, bh_fdr, chi_square, ari_nmi, f1_scores, balanced_accuracy, ligrec)}
-_ = cut
+QUERIES = {f.__name__: f for f in (nhood_enrichment, top_pairs, contact_test, interaction_matrix, moran_i, co_occurrence, co_occurrence_at, ripley, spearman, wilcoxon_markers, top_markers, bh_fdr, chi_square, ari_nmi, f1_scores, balanced_accuracy, ligrec)}
 
 _PERM = f"perm AS (SELECT range AS perm FROM range({PERMS}))"
 _SHUF = lambda src, seed, within, name: f"""{name}_slot AS (SELECT id{''.join(', ' + w for w in within)}, row_number() OVER ({'PARTITION BY ' + ', '.join(within) if within else ''} ORDER BY id) AS k FROM {src}),
@@ -169,10 +176,14 @@ ti AS (SELECT gene, sum(k ** 3 - k) AS tie, sum(k) AS t FROM (SELECT gene, value
 al AS (SELECT gene, sum(exp(value) - 1) AS alls FROM every GROUP BY 1),
 gg AS (SELECT gene, grp, count(*) AS n, sum(r) AS rs, sum(exp(value) - 1) AS e FROM rk GROUP BY 1, 2),
 mk AS (SELECT gene, grp, n, rs - n * (n + 1) / 2.0::DOUBLE AS u, n * (t - n) / 12.0::DOUBLE * (t + 1 - tie / (t * (t - 1))) AS var, n * (t - n) / 2.0::DOUBLE AS mu, e / n AS mi, (alls - e) / (t - n) AS mo FROM gg JOIN ti USING (gene) JOIN al USING (gene)),
-mark AS (SELECT gene, grp, n, round(u, 3) AS u, round((u - mu) / sqrt(var), 7) AS z, round(log2((mi + 1e-9) / (mo + 1e-9)), 7) AS log2fc FROM mk)"""
+mz AS (SELECT *, (u - mu) / sqrt(var) AS zz FROM mk), mp AS (SELECT *, 2 * ({normal_tail('abs(zz)')}) AS p FROM mz), mq AS ({fdr('mp', by='grp')}),
+mark AS (SELECT gene, grp, n, round(u, 3) AS u, round(zz, 7) AS z, round(log2((mi + 1e-9) / (mo + 1e-9)), 7) AS log2fc, round(p, 9) AS p, round(q, 9) AS q FROM mq)"""
 _LABELS = f"{ATLAS}, two AS (SELECT {sql_fold('cell_type_major')} AS major, {sql_fold('cell_type_tumor')} AS tumor, {sql_fold('ann_coarse')} AS coarse FROM atlas)"
 _SCORES = f"{_LABELS}, p AS (SELECT major AS truth, tumor AS pred FROM two WHERE major IS NOT NULL AND tumor IS NOT NULL), sc AS (SELECT t.label, support, hit / support AS recall, coalesce(hit / called, 0) AS precision, 2.0::DOUBLE * hit / (support + coalesce(called, 0)) AS f1 FROM (SELECT truth AS label, count(*) AS support, sum((truth = pred)::INT) AS hit FROM p GROUP BY 1) t LEFT JOIN (SELECT pred AS label, count(*) AS called FROM p GROUP BY 1) c ON c.label = t.label)"
 
+_BANDED_PAIRS = f"{VECTORS}, p AS (SELECT a.lineage AS a, b.lineage AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM vec a JOIN vec b ON a.id <> b.id), q AS (SELECT a, b, CASE WHEN dist > 5 AND dist <= 50 THEN 0 WHEN dist > 50 AND dist <= 100 THEN 1 WHEN dist > 100 AND dist <= 200 THEN 2 WHEN dist > 200 AND dist <= 300 THEN 3 END AS band FROM p), n AS (SELECT band, a, b, count(*) AS n FROM q WHERE band IS NOT NULL GROUP BY 1, 2, 3)"
+_CHI = f"{TISSUE}, c AS (SELECT space, lineage AS a, niche AS b, count(*) AS n FROM tissue WHERE niche IS NOT NULL GROUP BY 1, 2, 3), f0 AS (SELECT x.space, a, b FROM (SELECT DISTINCT space, a FROM c) x JOIN (SELECT DISTINCT space, b FROM c) y ON x.space = y.space), g AS (SELECT f0.*, coalesce(n, 0) AS n FROM f0 LEFT JOIN c ON c.space = f0.space AND c.a = f0.a AND c.b = f0.b), h AS (SELECT *, (sum(n) OVER (PARTITION BY space, a))::DOUBLE * sum(n) OVER (PARTITION BY space, b) / sum(n) OVER (PARTITION BY space) AS e FROM g), ch AS (SELECT space, sum((n - e) * (n - e) / e) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof FROM h GROUP BY 1)"
+
 SQL = {
     "nhood_enrichment": f"WITH {_ENRICH} SELECT * FROM enz",
     "top_pairs": f"WITH {_ENRICH} SELECT a, b, z FROM enz WHERE a < b ORDER BY z DESC, a, b LIMIT 3",
@@ -187,14 +198,15 @@ fin AS (SELECT s.pair, (SELECT sum(value) FROM ml WHERE ml.pair = s.pair)::BIGIN
 bh AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM fin)
 SELECT pair, senders, receivers, observed, round(expected, 6) AS expected, round(z, 6) AS z, round(p, 9) AS p, round(least(1, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 9) AS q FROM bh""",
     "interaction_matrix": f"WITH {EDGES} SELECT a.lineage AS a, b.lineage AS b, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY a.lineage), 9) AS share FROM edge JOIN vec a ON a.id = src JOIN vec b ON b.id = dst GROUP BY 1, 2",
-    "moran_i": f"WITH {EDGES}, w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM edge), every AS (SELECT x.id, g.gene, coalesce(v.cnt, 0) AS value FROM vec x CROSS JOIN (SELECT DISTINCT gene FROM vgene) g LEFT JOIN vgene v ON v.id = x.id AND v.gene = g.gene), z AS (SELECT id, gene, value - avg(value) OVER (PARTITION BY gene) AS z FROM every), top AS (SELECT a.gene, sum(w * a.z * b.z) AS t FROM w JOIN z a ON a.id = src JOIN z b ON b.id = dst AND b.gene = a.gene GROUP BY 1), zz AS (SELECT gene, sum(z * z) AS zz, count(*) AS n FROM z GROUP BY 1) SELECT gene, round(n / (SELECT sum(w) FROM w) * t / nullif(zz, 0), 8) AS moran FROM top JOIN zz USING (gene)",
-    "co_occurrence": f"WITH {VECTORS}, p AS (SELECT a.lineage AS a, b.lineage AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM vec a JOIN vec b ON a.id <> b.id), q AS (SELECT a, b, CASE WHEN dist > 5 AND dist <= 50 THEN 0 WHEN dist > 50 AND dist <= 100 THEN 1 WHEN dist > 100 AND dist <= 200 THEN 2 WHEN dist > 200 AND dist <= 300 THEN 3 END AS band FROM p), n AS (SELECT band, a, b, count(*) AS n FROM q WHERE band IS NOT NULL GROUP BY 1, 2, 3) SELECT band, a, b, n, round((n / sum(n) OVER (PARTITION BY band, a)) / (sum(n) OVER (PARTITION BY band, b) / sum(n) OVER (PARTITION BY band)), 8) AS ratio FROM n",
+    "moran_i": f"WITH {EDGES}, w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM edge), every AS (SELECT x.id, g.gene, coalesce(v.cnt, 0) AS value FROM vec x CROSS JOIN (SELECT DISTINCT gene FROM vgene) g LEFT JOIN vgene v ON v.id = x.id AND v.gene = g.gene), z AS (SELECT id, gene, value - avg(value) OVER (PARTITION BY gene) AS z FROM every), top AS (SELECT a.gene, sum(w * a.z * b.z) AS t FROM w JOIN z a ON a.id = src JOIN z b ON b.id = dst AND b.gene = a.gene GROUP BY 1), zz AS (SELECT gene, sum(z * z) AS zz, count(*)::DOUBLE AS n FROM z GROUP BY 1), s0 AS (SELECT sum(w) AS s0 FROM w), s1 AS (SELECT sum((a.w + b.w) ** 2) / 2 AS s1 FROM w a JOIN w b ON a.src = b.dst AND a.dst = b.src), s2 AS (SELECT sum(s * s) AS s2 FROM (SELECT i, sum(w) AS s FROM (SELECT src AS i, w FROM w UNION ALL SELECT dst, w FROM w) GROUP BY 1)), mo AS (SELECT gene, n / s0 * t / nullif(zz, 0) AS moran, -1 / (n - 1) AS ex, (n * n * s1 - n * s2 + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) AS v FROM top JOIN zz USING (gene), s0, s1, s2), mz AS (SELECT gene, moran, (moran - ex) / sqrt(v - ex * ex) AS z FROM mo), mp AS (SELECT *, {normal_tail('abs(z)')} AS p FROM mz), mq AS ({fdr('mp')}) SELECT gene, round(moran, 8) AS moran, round(z, 6) AS z, round(p, 9) AS p, round(q, 9) AS q FROM mq",
+    "co_occurrence": f"WITH {_BANDED_PAIRS} SELECT band, a, b, n, round((n / sum(n) OVER (PARTITION BY band, a)) / (sum(n) OVER (PARTITION BY band, b) / sum(n) OVER (PARTITION BY band)), 8) AS ratio FROM n",
     "ripley": f"WITH {VECTORS}, ar AS (SELECT (max(x) - min(x)) * (max(y) - min(y)) AS area FROM vec), s AS (SELECT lineage AS label, count(*) AS n FROM vec GROUP BY 1), r AS (SELECT unnest([25.0, 50.0, 100.0, 200.0])::DOUBLE AS radius), k AS (SELECT a.lineage AS label, radius, count(*) AS k FROM r, vec a JOIN vec b ON a.id <> b.id AND a.lineage = b.lineage WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= radius GROUP BY 1, 2) SELECT s.label, r.radius, round(sqrt(area * coalesce(k, 0) / (3.141592653589793 * n * (n - 1))), 6) AS l FROM s CROSS JOIN r CROSS JOIN ar LEFT JOIN k ON k.label = s.label AND k.radius = r.radius",
     "spearman": f"WITH {TISSUE}, t AS (SELECT * FROM tissue WHERE transcript_counts IS NOT NULL AND cell_area IS NOT NULL), r AS (SELECT cell_type, rank() OVER (PARTITION BY cell_type ORDER BY transcript_counts) + (count(*) OVER (PARTITION BY cell_type, transcript_counts) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY cell_type ORDER BY cell_area) + (count(*) OVER (PARTITION BY cell_type, cell_area) - 1) / 2.0::DOUBLE AS b FROM t) SELECT cell_type, count(*) AS n, round(corr(a, b), 8) AS rho FROM r GROUP BY 1",
     "wilcoxon_markers": f"WITH {_RANK} SELECT * FROM mark",
-    "top_markers": f"WITH {_RANK}, t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, gene) AS rn FROM mark WHERE z > 0) SELECT grp, string_agg(gene, ', ' ORDER BY rn) AS markers FROM t WHERE rn <= 3 GROUP BY 1",
-    "bh_fdr": f"WITH {TISSUE}, t AS (SELECT cell_type, space, 1.0::DOUBLE / (1 + count(*)) AS p FROM tissue GROUP BY 1, 2), s AS (SELECT *, p * count(*) OVER (PARTITION BY space) / count(*) OVER (PARTITION BY space ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM t) SELECT cell_type, space, round(p, 9) AS p, round(least(1, min(raw) OVER (PARTITION BY space ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 9) AS q FROM s",
-    "chi_square": f"WITH {TISSUE}, c AS (SELECT space, lineage AS a, niche AS b, count(*) AS n FROM tissue WHERE niche IS NOT NULL GROUP BY 1, 2, 3), f AS (SELECT x.space, a, b FROM (SELECT DISTINCT space, a FROM c) x JOIN (SELECT DISTINCT space, b FROM c) y ON x.space = y.space), g AS (SELECT f.*, coalesce(n, 0) AS n FROM f LEFT JOIN c ON c.space = f.space AND c.a = f.a AND c.b = f.b), h AS (SELECT *, (sum(n) OVER (PARTITION BY space, a))::DOUBLE * sum(n) OVER (PARTITION BY space, b) / sum(n) OVER (PARTITION BY space) AS e FROM g) SELECT space, round(sum((n - e) * (n - e) / e), 6) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof FROM h GROUP BY 1",
+    "top_markers": f"WITH {_RANK.replace('x.lineage AS grp', 'x.cell_type AS grp')}, t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, gene) AS rn FROM mark WHERE q < 0.05 AND log2fc > 0.1) SELECT grp, string_agg(gene, ', ' ORDER BY rn) AS markers FROM t WHERE rn <= 5 GROUP BY 1",
+    "bh_fdr": f"WITH {_CHI}, t AS (SELECT space, coalesce({chi2_tail('chi2', 'dof')}, 1) AS p FROM ch), f AS ({fdr('t')}) SELECT space, round(p, 9) AS p, round(q, 9) AS q FROM f",
+    "chi_square": f"WITH {_CHI} SELECT space, round(chi2, 6) AS chi2, dof, round(coalesce({chi2_tail('chi2', 'dof')}, 1), 9) AS p FROM ch",
+    "co_occurrence_at": f"WITH {_BANDED_PAIRS}, r AS (SELECT band, a, (n / sum(n) OVER (PARTITION BY band, a)) / (sum(n) OVER (PARTITION BY band, b) / sum(n) OVER (PARTITION BY band)) AS ratio, b, [50.0, 100.0, 200.0, 300.0][band + 1]::DOUBLE AS upto FROM n), w AS (SELECT unnest([20.0, 100.0, 300.0])::DOUBLE AS wanted) SELECT a, wanted, upto, round(ratio, 8) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY a, wanted ORDER BY abs(upto - wanted), upto) AS rn FROM r, w WHERE b = 'l0') WHERE rn = 1",
     "ari_nmi": f"WITH {_LABELS}, c AS (SELECT coarse AS a, major AS b, count(*)::DOUBLE AS n FROM two WHERE coarse IS NOT NULL AND major IS NOT NULL GROUP BY 1, 2), t AS (SELECT sum(n) AS t, sum(n * (n - 1) / 2) AS pj FROM c), ma AS (SELECT a, sum(n) AS n FROM c GROUP BY 1), mb AS (SELECT b, sum(n) AS n FROM c GROUP BY 1), h AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM ma) AS pa, (SELECT sum(n * (n - 1) / 2) FROM mb) AS pb, (SELECT sum(-n / t * ln(n / t)) FROM ma, t) AS ha, (SELECT sum(-n / t * ln(n / t)) FROM mb, t) AS hb, (SELECT sum(c.n / t * ln(c.n * t / (ma.n * mb.n))) FROM c JOIN ma ON ma.a = c.a JOIN mb ON mb.b = c.b, t) AS mi) SELECT t::BIGINT AS n, round((pj - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 8) AS ari, round(mi / ((ha + hb) / 2), 8) AS nmi, round(pj / sqrt(pa * pb), 8) AS fmi FROM h, t",
     "f1_scores": f"WITH {_SCORES} SELECT label, support, round(recall, 9) AS recall, round(precision, 9) AS precision, round(f1, 9) AS f1 FROM sc",
     "balanced_accuracy": f"WITH {_SCORES} SELECT round(avg(recall), 9) AS balanced_accuracy, round(avg(f1), 9) AS macro_f1, round(1.0::DOUBLE / count(*), 9) AS chance FROM sc",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cellgrove.functions import tile
 from cellgrove.operators import neighbours as nb
+from cellgrove.operators import stats as st
 from cellgrove.operators import tissue as ts
 from cellgrove.plans import cut, kept, quantiles
+from cellgrove.queries.sql import chi2_tail, fdr
 from cellgrove.queries.base import DISTANCE, EDGES, TISSUE, tissue, vector_edges, vectors, with_distance
 
 EPS, LEAST_B, K = 30.0, 8, 3
@@ -110,6 +114,22 @@ def ratio_by_band(spark, d):
     return ts.ratio_by_band(_with_aggregates(spark, d), "CD8 T (GZMK+)", "CD163+ macrophage").withColumn("value", F.round("value", 9))
 
 
+#: Traits of a cell that stand for genes here: the tables hold no counts of cells.
+STATES = {"rich": "transcript_counts >= 60", "large": "cell_area >= 80", "round": "nucleus_area >= 0.4 * cell_area"}
+
+
+def cd8_states(spark, d):
+    """Percentage of CD8 cells with each trait per compartment, with the chi-square test across compartments."""
+    c = _with_aggregates(spark, d).where("cell_type = 'CD8 T (GZMK+)'").withColumn("a", ts.compartment(F.col("d"), F.col("in_aggregate")))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("state"), F.coalesce(F.expr(v), F.lit(False)).alias("b")) for k, v in STATES.items()]))
+    n = kept(c.select("a", rows.alias("r")).groupBy("r.state", "a", "r.b").agg(F.count(F.lit(1)).alias("n")))
+    places = n.select("state", "a").distinct().withColumn("b", F.explode(F.array(F.lit(False), F.lit(True))))
+    full = places.join(n, ["state", "a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    test = st.benjamini_hochberg(st.chi_square(full, ["state"]), "p")
+    pct = full.groupBy("state", "a").agg((100.0 * F.sum(F.when(F.col("b"), F.col("n")).otherwise(0)) / F.sum("n")).alias("pct"))
+    return pct.join(test, "state").select("state", F.col("a").alias("compartment"), F.round("pct", 6).alias("pct"), F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
+
+
 TILE, LEAST_TUMOUR = 100.0, 10
 
 
@@ -134,16 +154,12 @@ def phenotype_sensitivity(spark, d):
 
 def tile_labels(spark, d):
     """Every cell with the phenotype of its tile, or "not scored"."""
-    from cellgrove.functions import tile
-
     c = tissue(spark, d).select("id", "space", tile("x", TILE).alias("tx"), tile("y", TILE).alias("ty"))
     return c.join(_tiles(spark, d).select("space", "tx", "ty", "phenotype"), ["space", "tx", "ty"], "left").groupBy("space", F.coalesce("phenotype", F.lit("not scored")).alias("phenotype")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def densest_contact_tile(spark, d):
     """In each section the 120 µm tile with most of the rarer of tumour and CD8 cells; ties to the smaller tile."""
-    from cellgrove.functions import tile
-
     c = tissue(spark, d).groupBy("space", tile("x", 120).alias("tx"), tile("y", 120).alias("ty")).agg(F.sum(F.col("is_tumour").cast("bigint")).alias("a"), F.sum((F.col("cell_type") == "CD8 T (GZMK+)").cast("bigint")).alias("b"))
     best = c.groupBy("space").agg(F.max(F.struct(F.least("a", "b").alias("n"), (-F.col("tx")).alias("x"), (-F.col("ty")).alias("y"))).alias("m"))
     return best.select("space", (-F.col("m.x")).alias("tx"), (-F.col("m.y")).alias("ty"), F.col("m.n").alias("n"))
@@ -151,20 +167,35 @@ def densest_contact_tile(spark, d):
 
 def tiles_and_majority(spark, d):
     """Tiles of 50 µm with at least 5 cells: centre and most frequent lineage, ties to the smaller name."""
-    from pyspark.sql import Window
-
-    from cellgrove.functions import tile
-
     c = tissue(spark, d).groupBy("space", tile("x", 50).alias("tx"), tile("y", 50).alias("ty"), "lineage").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("space", "tx", "ty")
     c = c.withColumns({"cells": F.sum("n").over(w), "rn": F.row_number().over(w.orderBy(F.col("n").desc(), "lineage"))}).where("rn = 1 and cells >= 5")
     return c.select("space", "tx", "ty", (50.0 * F.col("tx") + 25).alias("x"), (50.0 * F.col("ty") + 25).alias("y"), "cells", "lineage")
 
 
+def tile_index(spark, d):
+    """Cells per dense number of their 50 µm tile, tiles of at least 5 cells numbered in order, -1 for the others."""
+    c = kept(tissue(spark, d).select("id", "space", tile("x", 50).alias("tx"), tile("y", 50).alias("ty")))
+    return ts.tile_numbers(c, 5).groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+
+
+def domain_mix(spark, d):
+    """Tumour types of each section with their share and median depth (distance to the nearest other cell)."""
+    c = kept(tissue(spark, d))
+    n = nb.nearest(c.where("is_tumour"), c.where("not is_tumour")).join(c.select("id", "space", "cell_type"), "id")
+    n = kept(n.select("space", "cell_type", "dist"))
+    share = n.groupBy("space", "cell_type").agg(F.count(F.lit(1)).alias("n")).withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("space")))
+    return share.join(quantiles(n, ["space", "cell_type"], "dist", {"m": 0.5}), ["space", "cell_type"], "left").select("space", "cell_type", "n", F.round("pct", 6).alias("pct"), F.round("m", 6).alias("depth_um"))
+
+
+def viewer_export(spark, d):
+    """Every placed cell with its niche and aggregate, none where it has none."""
+    c = _with_aggregates(spark, d)
+    return c.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "cell_type", F.coalesce("niche", F.lit("none")).alias("niche"), F.when(F.col("in_aggregate"), "aggregate").otherwise("none").alias("place"))
+
+
 def blocks(spark, d):
     """Cells per spatial block of 200 µm."""
-    from cellgrove.functions import tile
-
     return tissue(spark, d).groupBy("space", F.concat(F.lit("b"), tile("x", 200).cast("string"), F.lit("_"), tile("y", 200).cast("string")).alias("block")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -195,7 +226,7 @@ def name_domains(spark, d):
     return cut(names).join(order, "space").select("space", F.concat(F.lit("D"), F.col("rank").cast("string"), F.lit(": "), F.col("name")).alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (infiltration, distance_to_tumour, exclusion_on_positions, radius_neighbours, niche_composition, neighbourhood_composition_excl, neighbourhood_mean, knn_spatial, delaunay_edges, graph_stats, khop_rings, dbscan_aggregates, aggregate_table, compartments, ratio_by_band, tile_phenotypes, phenotype_by_programme, phenotype_sensitivity, tile_labels, densest_contact_tile, tiles_and_majority, blocks, bbox_window, depth_in_nest, name_domains)}
+QUERIES = {f.__name__: f for f in (infiltration, distance_to_tumour, exclusion_on_positions, radius_neighbours, niche_composition, neighbourhood_composition_excl, neighbourhood_mean, knn_spatial, delaunay_edges, graph_stats, khop_rings, dbscan_aggregates, aggregate_table, compartments, cd8_states, tile_index, domain_mix, viewer_export, ratio_by_band, tile_phenotypes, phenotype_by_programme, phenotype_sensitivity, tile_labels, densest_contact_tile, tiles_and_majority, blocks, bbox_window, depth_in_nest, name_domains)}
 
 _D2 = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 _NEAR = lambda r: f"near AS (SELECT a.id AS src, b.id AS dst, b.lineage, b.transcript_counts FROM tissue a JOIN tissue b ON a.space = b.space AND b.x BETWEEN a.x - {r} - 1 AND a.x + {r} + 1 WHERE {_D2} <= {r})"
@@ -217,7 +248,13 @@ _PCT3 = ", ".join(f"round(100 * avg((phenotype = '{p}')::INT::DOUBLE), 6) AS {p}
 _BAND = "CASE WHEN agg THEN 'aggregate' WHEN d <= 15 THEN '<= 15 um' WHEN d <= 50 THEN '15-50 um' WHEN d <= 100 THEN '50-100 um' ELSE '> 100 um' END"
 _INF = "avg((d <= 15)::INT::DOUBLE)"
 
+_STATES = " UNION ALL ".join(f"SELECT '{k}' AS state, comp AS a, coalesce({v}, false) AS b FROM cd8" for k, v in STATES.items())
+
 SQL = {
+    "cd8_states": f"WITH RECURSIVE {_BANDED}, cd8 AS (SELECT *, CASE WHEN agg THEN 'aggregate' WHEN d <= 15 THEN 'tumour contact' WHEN d <= 50 THEN 'border' ELSE 'stroma' END AS comp FROM banded WHERE cell_type = 'CD8 T (GZMK+)'), st AS ({_STATES}), c AS (SELECT state, a, count(*) FILTER (WHERE b) AS y, count(*) FILTER (WHERE NOT b) AS no FROM st GROUP BY 1, 2), u AS (SELECT state, a, unnest([y, no]) AS n, unnest([true, false]) AS b FROM c), e AS (SELECT *, (sum(n) OVER (PARTITION BY state, a))::DOUBLE * sum(n) OVER (PARTITION BY state, b) / sum(n) OVER (PARTITION BY state) AS e FROM u), x AS (SELECT state, CASE WHEN min(e) > 0 AND count(DISTINCT a) > 1 THEN sum((n - e) * (n - e) / nullif(e, 0)) END AS chi2, count(DISTINCT a) - 1 AS dof FROM e GROUP BY 1), p AS (SELECT state, coalesce({chi2_tail('chi2', 'dof')}, 1) AS p FROM x), q AS ({fdr('p')}) SELECT c.state, a AS compartment, round(100.0::DOUBLE * y / (y + no), 6) AS pct, round(p, 9) AS p, round(q, 9) AS q FROM c JOIN q ON q.state = c.state",
+    "tile_index": f"WITH {TISSUE}, c AS (SELECT id, space, floor(x / 50)::BIGINT AS tx, floor(y / 50)::BIGINT AS ty FROM tissue), k AS (SELECT space, tx, ty, row_number() OVER (ORDER BY space, tx, ty) - 1 AS number FROM c GROUP BY 1, 2, 3 HAVING count(*) >= 5) SELECT coalesce(number, -1) AS number, count(*) AS n, min(id) AS first FROM c LEFT JOIN k USING (space, tx, ty) GROUP BY 1",
+    "domain_mix": f"WITH {TISSUE}, n AS (SELECT a.space, a.cell_type, (SELECT min({_D2}) FROM tissue b WHERE b.space = a.space AND NOT b.is_tumour) AS dist FROM tissue a WHERE a.is_tumour) SELECT space, cell_type, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY space), 6) AS pct, round(median(dist), 6) AS depth_um FROM n GROUP BY 1, 2",
+    "viewer_export": f"WITH RECURSIVE {_BANDED} SELECT id, round(x, 3) AS x, round(y, 3) AS y, cell_type, coalesce(niche, 'none') AS niche, CASE WHEN agg THEN 'aggregate' ELSE 'none' END AS place FROM banded",
     "infiltration": f"WITH {DISTANCE}, b AS (SELECT {_INF} AS base FROM far WHERE NOT is_tumour AND d IS NOT NULL) SELECT cell_type, count(*) AS n, round(median(d), 6) AS median_um, round(100 * {_INF}, 6) AS pct_contact, round(100 * avg((d > 100)::INT::DOUBLE), 6) AS pct_beyond_100, CASE WHEN {_INF} > any_value(base) * 1.2 THEN 'infiltrating' WHEN {_INF} < any_value(base) * 0.8 THEN 'excluded' ELSE 'similar' END AS versus FROM far, b WHERE NOT is_tumour AND d IS NOT NULL AND (coalesce(in_time_types, false) OR cell_type = 'Fibroblast') GROUP BY 1",
     "distance_to_tumour": f"WITH {DISTANCE} SELECT id, round(d, 6) AS d FROM far",
     "exclusion_on_positions": f"WITH {DISTANCE}, c AS (SELECT * FROM far WHERE NOT is_tumour AND d IS NOT NULL), e AS (SELECT cell_type, d FROM c WHERE cell_type IN ('CD8 T (GZMK+)', 'CD163+ macrophage', 'Fibroblast') UNION ALL SELECT 'baseline', d FROM c) SELECT cell_type, round(median(d), 6) AS median_um, round(100 * {_INF}, 6) AS pct_contact FROM e GROUP BY 1",
