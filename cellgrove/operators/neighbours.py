@@ -51,7 +51,8 @@ def _within_reach(points: DataFrame, targets: DataFrame, k: int, extent: float,
 
     A descent over two pyramids of tiles at once: the farthest distances between the boxes of two tiles bound how far
     the k-th nearest target can be, and target tiles that begin beyond it are dropped with all that lies in them. What
-    is left per tile is bounded by geometry, however far or however many the targets are; points are never paired here.
+    is left per tile are the target tiles in a ring about two tiles wide, wherever the targets are; points are never
+    paired here.
     """
     levels = 1
     while 8 * size * FACTOR ** (levels - 1) < extent:
