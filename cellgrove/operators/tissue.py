@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellgrove.functions import half_even, ratio, tile
 from cellgrove.operators.neighbours import dense_aggregates
 from cellgrove.operators.regions import near_points
-from cellgrove.plans import kept, quantiles, ranked
+from cellgrove.plans import cut, kept, quantiles, ranked
 
 CONTACT = 15
 PHENOTYPES = ("inflamed", "excluded", "desert")
@@ -115,12 +115,12 @@ def aggregates(cells: DataFrame, core_type: str, eps: float = 25, least: int = 2
     circle holds the cell, the smallest one where circles overlap. table: each circle's own composition.
     """
     own = cells.where(F.col("cell_type") == core_type)
-    label = kept(own.join(dense_aggregates(own, eps, least).select("id", "cluster"), "id"))
+    label = cut(own.join(dense_aggregates(own, eps, least).select("id", "cluster"), "id"))  # one type's cells: short plans from here on
     centre = kept(label.groupBy("space", "cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("n_core")))
     away = F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)
     far = quantiles(label.join(centre, ["space", "cluster"]).withColumn("_away", away), ["space", "cluster"], "_away", {"_far": 0.9})
     radius = centre.join(far, ["space", "cluster"]).withColumn("radius", F.col("_far") + rim).drop("_far")
-    circles = kept(ranked(radius, [], [F.col("n_core").desc(), F.col("cluster")], "rank"))
+    circles = cut(ranked(radius, [], [F.col("n_core").desc(), F.col("cluster")], "rank"))
     spots = cells.select("space", F.col("id").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py"))
     near = near_points(spots, circles.select("space", F.col("rank").alias("region_id"), "cx", "cy", "radius"), "radius", strip=200.0)
     held = near.select(F.col("point_id").alias("id"), F.col("region_id").alias("rank"))

@@ -18,7 +18,7 @@ from cellgrove.streaming import quality_stream
 
 def _features(spark, d):
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"), "embedding")
-    return e.select("id", "label", (F.col("id") % 12).alias("block"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"), F.col("embedding")[1].cast("double").alias("y1"))
+    return e.select("id", "label", (F.col("id") % 12).alias("block"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
 
 
 def pca(spark, d):
@@ -76,9 +76,17 @@ def cv_classify(spark, d):
     return st.overall_scores(p.select(F.col("label").alias("truth"), "pred"))
 
 
+def cv_classify_random(spark, d):
+    """The same with rows dealt to folds one by one, on twenty principal components."""
+    p = md.cross_validated_labels(_features(spark, d), "label", None, 3, components=20)
+    return st.overall_scores(p.select(F.col("label").alias("truth"), "pred"))
+
+
 def cv_gene_r(spark, d):
-    """Out-of-fold correlation of ridge regression for two targets."""
-    f = _features(spark, d).withColumn("y2", F.col("label").cast("double"))
+    """Out-of-fold correlation of ridge regression, its penalty chosen per fold, for two targets that are no features."""
+    e = read(spark, d, "embeddings").select((F.col("vec_id") % 12).alias("block"), F.col("label").cast("double").alias("y2"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    rest = F.concat(F.slice("e", 1, 1), F.slice("e", 3, 62))  # every component but the second, which is the target
+    f = e.select("block", "y2", F.col("e")[1].alias("y1"), array_to_vector(rest).alias("features"))
     return md.cross_validated_r(f, ["y1", "y2"], "block", 3)
 
 
@@ -154,7 +162,7 @@ def transcript_windows(spark, d):
     return quality_stream(e).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "feature", "n", "passed")
 
 
-QUERIES = {f.__name__: f for f in (pca, kmeans_niches, gmm_autok, kmeans_agreement, atlas_classifier, cv_classify, cv_gene_r, communities, banksy_features, banksy_matrix, banksy, cellcharter_embedding, cellcharter_features, tile_blocks_split, transcript_windows)}
+QUERIES = {f.__name__: f for f in (pca, kmeans_niches, gmm_autok, kmeans_agreement, atlas_classifier, cv_classify, cv_classify_random, cv_gene_r, communities, banksy_features, banksy_matrix, banksy, cellcharter_embedding, cellcharter_features, tile_blocks_split, transcript_windows)}
 
 SQL = {
     "banksy_features": f"WITH {VECTORS}, k AS (SELECT a.id AS src, b.id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS rn FROM vec a JOIN vec b ON a.id <> b.id), w AS (SELECT src, dst, exp(-dist * dist / 1800.0) / sum(exp(-dist * dist / 1800.0)) OVER (PARTITION BY src) AS w FROM k WHERE rn <= 5), v AS (SELECT id, gene, ln(1 + cnt) AS value FROM vgene WHERE gene IN ('g3', 'g4', 'g5', 'g6')), m AS (SELECT src AS id, gene, sum(w * value) AS m FROM w JOIN v ON v.id = dst GROUP BY 1, 2) SELECT coalesce(v.id, m.id) AS id, coalesce(v.gene, m.gene) AS gene, round(sqrt(0.8) * coalesce(value, 0), 8) AS own, round(sqrt(0.2) * coalesce(m, 0), 8) AS around FROM v FULL JOIN m ON m.id = v.id AND m.gene = v.gene",

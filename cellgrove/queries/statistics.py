@@ -87,10 +87,10 @@ def wilcoxon_markers(spark, d):
 
 
 def top_markers(spark, d):
-    """The five strongest marker genes of each cell type (q below 0.05, log2 fold change above 0.1), in order."""
+    """The five strongest marker genes of each cell type (any q, mean above the others'), in order."""
     v = vector_genes(spark, d).select("id", "gene", F.log1p("cnt").alias("value"))
     g = vectors(spark, d).select("id", F.col("cell_type").alias("grp"))
-    return st.best_markers(st.rank_sum_markers(v, kept(g)).withColumn("z", F.round("z", 7)), 5, 0.05, 0.1)
+    return st.best_markers(st.rank_sum_markers(v, kept(g)).withColumn("z", F.round("z", 7)), 5, 1.01, 0.0)
 
 
 def bh_fdr(spark, d):
@@ -203,7 +203,7 @@ SELECT pair, senders, receivers, observed, round(expected, 6) AS expected, round
     "ripley": f"WITH {VECTORS}, ar AS (SELECT (max(x) - min(x)) * (max(y) - min(y)) AS area FROM vec), s AS (SELECT lineage AS label, count(*) AS n FROM vec GROUP BY 1), r AS (SELECT unnest([25.0, 50.0, 100.0, 200.0])::DOUBLE AS radius), k AS (SELECT a.lineage AS label, radius, count(*) AS k FROM r, vec a JOIN vec b ON a.id <> b.id AND a.lineage = b.lineage WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= radius GROUP BY 1, 2) SELECT s.label, r.radius, round(sqrt(area * coalesce(k, 0) / (3.141592653589793 * n * (n - 1))), 6) AS l FROM s CROSS JOIN r CROSS JOIN ar LEFT JOIN k ON k.label = s.label AND k.radius = r.radius",
     "spearman": f"WITH {TISSUE}, t AS (SELECT * FROM tissue WHERE transcript_counts IS NOT NULL AND cell_area IS NOT NULL), r AS (SELECT cell_type, rank() OVER (PARTITION BY cell_type ORDER BY transcript_counts) + (count(*) OVER (PARTITION BY cell_type, transcript_counts) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY cell_type ORDER BY cell_area) + (count(*) OVER (PARTITION BY cell_type, cell_area) - 1) / 2.0::DOUBLE AS b FROM t) SELECT cell_type, count(*) AS n, round(corr(a, b), 8) AS rho FROM r GROUP BY 1",
     "wilcoxon_markers": f"WITH {_RANK} SELECT * FROM mark",
-    "top_markers": f"WITH {_RANK.replace('x.lineage AS grp', 'x.cell_type AS grp')}, t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, gene) AS rn FROM mark WHERE q < 0.05 AND log2fc > 0.1) SELECT grp, string_agg(gene, ', ' ORDER BY rn) AS markers FROM t WHERE rn <= 5 GROUP BY 1",
+    "top_markers": f"WITH {_RANK.replace('x.lineage AS grp', 'x.cell_type AS grp')}, t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY z DESC, gene) AS rn FROM mark WHERE q < 1.01 AND log2fc > 0) SELECT grp, string_agg(gene, ', ' ORDER BY rn) AS markers FROM t WHERE rn <= 5 GROUP BY 1",
     "bh_fdr": f"WITH {_CHI}, t AS (SELECT space, coalesce({chi2_tail('chi2', 'dof')}, 1) AS p FROM ch), f AS ({fdr('t')}) SELECT space, round(p, 9) AS p, round(q, 9) AS q FROM f",
     "chi_square": f"WITH {_CHI} SELECT space, round(chi2, 6) AS chi2, dof, round(coalesce({chi2_tail('chi2', 'dof')}, 1), 9) AS p FROM ch",
     "co_occurrence_at": f"WITH {_BANDED_PAIRS}, r AS (SELECT band, a, (n / sum(n) OVER (PARTITION BY band, a)) / (sum(n) OVER (PARTITION BY band, b) / sum(n) OVER (PARTITION BY band)) AS ratio, b, [50.0, 100.0, 200.0, 300.0][band + 1]::DOUBLE AS upto FROM n), w AS (SELECT unnest([20.0, 100.0, 300.0])::DOUBLE AS wanted) SELECT a, wanted, upto, round(ratio, 8) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY a, wanted ORDER BY abs(upto - wanted), upto) AS rn FROM r, w WHERE b = 'l0') WHERE rn = 1",

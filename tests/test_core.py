@@ -191,11 +191,13 @@ def test_models(spark):
 
     rng = random.Random(0)
     data = [(i, i % 3, i % 10, [rng.gauss(3 * (i % 3 == k), 0.6) for k in range(4)]) for i in range(240)]
-    df = spark.createDataFrame(data, "id int, label int, block int, v array<double>").withColumn("features", array_to_vector("v")).withColumn("y", F.col("v")[0])
+    df = spark.createDataFrame(data, "id int, label int, block int, v array<double>").withColumn("features", array_to_vector("v")).withColumn("y", F.col("v")[0] + F.col("v")[1])
     p = md.cross_validated_labels(df, "label", "block", 3)
     s = st.overall_scores(p.select(F.col("label").alias("truth"), "pred")).first()
     assert s.balanced_accuracy > 0.9 and s.chance == pytest.approx(1 / 3) and p.count() == 240
-    r = md.cross_validated_r(df, ["y"], "block", 3, reg=0.01).first()
+    assert st.overall_scores(md.cross_validated_labels(df, "label", None, 2, components=2).select(F.col("label").alias("truth"), "pred")).first().balanced_accuracy > 0.9
+    rest = df.withColumn("features", array_to_vector(F.slice("v", 2, 3)))  # the target is the first component, given by the others
+    r = md.cross_validated_r(rest.withColumn("y", F.col("v")[1] - F.col("v")[2]), ["y"], "block", 2, (0.01, 100.0)).first()
     assert r.r > 0.9
     e = spark.createDataFrame([(a, b, 1.0) for g in (0, 10) for a in range(g, g + 5) for b in range(g, g + 5) if a != b], "src int, dst int, w double")
     c = {x.id: x.community for x in md.communities(e, spark.createDataFrame([(i,) for i in [*range(5), *range(10, 15)]], "id int")).collect()}
