@@ -15,6 +15,21 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.where(F.col("space").isNotNull() & F.col("id").isNotNull() & ok[0] & ok[1])
 
 
+def _reached(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+    """space, src, x, y, dst, _x, _y, dist of radius_pairs: with the coordinates of both sides."""
+    a = _placed(points).select("space", F.col("id").alias("src"), "x", "y", tile("x", radius).alias("_gx"), tile("y", radius).alias("_gy"))
+    d = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
+    return a.join(_spread(others, radius), ["space", "_gx", "_gy"]).withColumn("dist", d).where(F.col("dist") <= radius)
+
+
+def _spread(others: DataFrame, radius: float) -> DataFrame:
+    """space, _gx, _gy, dst, _x, _y: each point once for each of the 3 x 3 grid cells around its own."""
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    b = _placed(others).select("space", F.col("id").alias("dst"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    b = b.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
+    return b.withColumns({"_gx": tile("_x", radius) + F.col("_dx"), "_gy": tile("_y", radius) + F.col("_dy")}).drop("_dx", "_dy")
+
+
 def radius_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     """src, dst, space, dist: each point with every other-side point of its space at most radius away.
 
@@ -22,13 +37,7 @@ def radius_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFra
     cells around its own; an equi-join on the cell and an exact test do the rest. A point on both sides lies near
     itself. Rows with nulls match nothing. AQE splits grid cells that hold too many points.
     """
-    a = _placed(points).select("space", F.col("id").alias("src"), "x", "y", tile("x", radius).alias("_gx"), tile("y", radius).alias("_gy"))
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    b = _placed(others).select("space", F.col("id").alias("dst"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    b = b.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-    b = b.withColumn("_gx", tile("_x", radius) + F.col("_dx")).withColumn("_gy", tile("_y", radius) + F.col("_dy"))
-    d = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
-    return a.join(b, ["space", "_gx", "_gy"]).withColumn("dist", d).where(F.col("dist") <= radius).select("space", "src", "dst", "dist")
+    return _reached(points, others, radius).select("space", "src", "dst", "dist")
 
 
 #: Side of the finest tiles of the nearest join, in the unit of the coordinates, and the factor from level to level.
@@ -156,47 +165,45 @@ def neighbour_mean(points: DataFrame, values: DataFrame, radius: float) -> DataF
     return sums.join(n, "src").select(F.col("src").alias("id"), "gene", (F.col("s") / F.col("n")).alias("mean"))
 
 
-def delaunay_edges(points: DataFrame, longest: float, halo: float = 60.0) -> DataFrame:
+def delaunay_edges(points: DataFrame, longest: float, halo: float | None = None) -> DataFrame:
     """space, src < dst, dist: edges of the Delaunay graph not longer than longest (ties kept).
 
     An edge belongs to it if some circle through both ends holds no other point. The centre lies on the bisector at
     t; every other point bounds t from one side, so the edge stands if the largest lower bound does not exceed the
-    smallest upper bound. Points within the halo of the middle decide; where the smallest such circle leaves the
-    halo, the edge is judged again with twice the halo, and so on until the halo holds the whole space. Of four points
-    on one circle both diagonals stand. Coincident points are joined to each other and to the same neighbours.
+    smallest upper bound. Points within the halo of the middle (at first half of longest) decide, and refuse most
+    pairs at once; where the smallest such circle leaves the halo, the edge is judged again with four times the halo, and
+    so on until the halo holds the whole space. Of four points on one circle both diagonals stand. Coincident points
+    are joined to each other and to the same neighbours.
     """
+    halo = halo or longest / 2
     points = kept(_placed(points).select("id", "space", "x", "y"))
-    pairs = radius_pairs(points, points, longest).where("src < dst")
-    a = points.select(F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = points.select(F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    edges = cut(pairs.join(a, "src").join(b, "dst"))
+    edges = _reached(points, points, longest).where("src < dst").select("space", "src", "dst", "dist", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("_x").alias("bx"), F.col("_y").alias("by"))
     box = points.groupBy("space").agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).toDF("space", "w", "h")
     extent = box.agg(F.max(F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h")))).first()[0] or 0.0
+    mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
+    ux, uy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    vx, vy = F.col("cx") - F.col("mx"), F.col("cy") - F.col("my")
+    beside = 2 * (vx * -uy + vy * ux)
+    over = vx * vx + vy * vy - (ux * ux + uy * uy) / 4
+    bound = over / F.when(beside != 0, beside)
     out = None
     while True:
-        mid = edges.select("space", F.struct("src", "dst").alias("id"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
-        near = radius_pairs(mid, points, halo).select("space", F.col("src.src").alias("src"), F.col("src.dst").alias("dst"), F.col("dst").alias("third")).where("third <> src and third <> dst")
-        c = points.select(F.col("id").alias("third"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-        e = edges.join(near.join(c, "third"), ["space", "src", "dst"], "left")
-        mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
-        ux, uy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-        hh = (ux * ux + uy * uy) / 4
-        vx, vy = F.col("cx") - mx, F.col("cy") - my
-        beside = 2 * (vx * -uy + vy * ux)
-        over = vx * vx + vy * vy - hh
-        bound = over / F.when(beside != 0, beside)
+        last = halo > 2 * extent
+        third = _spread(points, halo).select("space", "_gx", "_gy", F.col("dst").alias("third"), F.col("_x").alias("cx"), F.col("_y").alias("cy"))
+        e = edges.withColumns({"mx": mx, "my": my}).withColumns({"_gx": tile("mx", halo), "_gy": tile("my", halo)}).join(third, ["space", "_gx", "_gy"])  # both ends are there themselves
+        decides = (F.col("third") != F.col("src")) & (F.col("third") != F.col("dst")) & (F.sqrt(vx * vx + vy * vy) <= halo)
         e = e.groupBy("space", "src", "dst", "dist", "ax", "ay", "bx", "by").agg(
-            F.max(F.when(beside < 0, bound)).alias("low"), F.min(F.when(beside > 0, bound)).alias("high"), F.max(F.when((beside == 0) & (over < 0), 1).otherwise(0)).alias("between"))
+            F.max(F.when(decides & (beside < 0), bound)).alias("low"), F.min(F.when(decides & (beside > 0), bound)).alias("high"), F.max(F.when(decides & (beside == 0) & (over < 0), 1).otherwise(0)).alias("between"))
         lo, hi = F.coalesce("low", F.lit(float("-inf"))), F.coalesce("high", F.lit(float("inf")))
         e = e.where("between = 0").withColumn("lo", lo).withColumn("hi", hi).where(F.col("lo") <= F.col("hi") + F.lit(1e-9) * (1 + F.abs("hi")))
         t = F.greatest(F.lit(0.0), F.col("lo"), -F.col("hi"))  # distance of the smallest circle's centre, in edge lengths
-        e = cut(e.withColumn("reach", (t + F.sqrt(t * t + 0.25)) * F.col("dist")))
-        sure = e.where((F.col("reach") <= halo) | F.lit(halo > 2 * extent)).select("space", "src", "dst", "dist")
+        e = cut(e.select("space", "src", "dst", "dist", "ax", "ay", "bx", "by", ((t + F.sqrt(t * t + 0.25)) * F.col("dist")).alias("reach")))
+        sure = e.where((F.col("reach") <= halo) | F.lit(last)).select("space", "src", "dst", "dist")
         out = sure if out is None else out.unionByName(sure)
-        edges = cut(e.where((F.col("reach") > halo) & F.lit(halo <= 2 * extent)).select("space", "src", "dst", "dist", "ax", "ay", "bx", "by"))
-        if not edges.limit(1).count():
+        edges = e.where(F.col("reach") > halo).drop("reach")
+        if last or not edges.limit(1).count():
             return out
-        halo *= 2
+        halo *= 4
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
