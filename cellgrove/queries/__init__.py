@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("counts", "labels", "learned", "near", "quality", "statistics", "tissue")
+MODULES = ("counts", "graphs", "labels", "learned", "near", "quality", "statistics", "tissue")
 
 
 def collect() -> tuple[dict, dict]:
