@@ -15,9 +15,11 @@ from cellgrove.plans import kept, ranked
 
 ROUNDS = 6
 #: Values that a task handles at once: ranks times permutations.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 #: Spaces whose sums a task holds before it hands them on.
 HELD = 32
+#: Ranks of one space whose edges go to the same task: edges that share points are counted together.
+STRETCH = 4096
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,7 +83,7 @@ def _counts(n_perms: int, key: int):
                     place = dealt(ranks, n, block, key ^ own)
                     if p < 0:
                         place = np.vstack([ranks[None, :], place])
-                    label = np.searchsorted(upto, place, side="right")
+                    label = np.searchsorted(upto, place, side="right").astype(np.int32)
                     code = label[:, src] * kinds + label[:, dst] + (np.arange(len(label)) * kinds * kinds)[:, None]
                     n_of = np.bincount(code.ravel(), minlength=len(label) * kinds * kinds).reshape(len(label), -1)
                     sums[space][p + 1 : p + 1 + len(label)] += n_of
@@ -98,7 +100,8 @@ def space_enrichment(edges: DataFrame, labels: DataFrame, n_perms: int, seed: in
 
     edges: space, src < dst, each counted in both directions; labels: id, space, value. Points are ranked by label, then id, within
     their space, so that a rank's label is read off the labels' running counts, and a permutation is a function of the
-    rank. Edges are shuffled twice to learn the ranks of their ends; all permutations are then counted where the edges lie.
+    rank. Edges are shuffled to learn the ranks of their ends and once more to lie with edges of the same
+    points; all permutations are counted there.
     Points without an id, space or label take part in nothing, nor do their edges. Pairs of labels that a space
     lacks have no row; z is null where sd is 0.
     """
@@ -111,6 +114,10 @@ def space_enrichment(edges: DataFrame, labels: DataFrame, n_perms: int, seed: in
     ends = edges.select("space", "src", "dst").join(rank.select("space", F.col("id").alias("src"), F.col("k").alias("ks")), ["space", "src"])
     ends = ends.join(rank.select("space", F.col("id").alias("dst"), F.col("k").alias("kd")), ["space", "dst"]).select("space", "ks", "kd")
     rows = ends.join(bounds, "space").select(F.col("space").cast("string").alias("space"), "ks", "kd", "upto", "key")
+    # few bytes, but much work: the number of tasks must not follow the bytes
+    spark = edges.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(tasks, "space", F.floor(F.col("kd") / STRETCH)).sortWithinPartitions("space", "kd")
     c = rows.mapInPandas(_counts(n_perms, seed), "space string, perm int, a int, b int, n bigint")
     c = c.select("space", "perm", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"), "n").select("space", "perm", "e.a", "e.b", "n")
     c = kept(c.groupBy("space", "perm", "a", "b").agg(F.sum("n").alias("n")))
