@@ -15,17 +15,18 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.where(F.col("space").isNotNull() & F.col("id").isNotNull() & ok[0] & ok[1])
 
 
-def _reached(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
-    """space, src, x, y, dst, _x, _y, dist of radius_pairs: with the coordinates of both sides."""
-    a = _placed(points).select("space", F.col("id").alias("src"), "x", "y", tile("x", radius).alias("_gx"), tile("y", radius).alias("_gy"))
+def _reached(points: DataFrame, others: DataFrame, radius: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """space, src, x, y, dst, _x, _y, dist of radius_pairs: with the coordinates of both sides, and src_<c>, dst_<c> of
+    each column in carry, so that the pairs need not be joined again."""
+    a = _placed(points).select("space", F.col("id").alias("src"), *[F.col(c).alias(f"src_{c}") for c in carry], "x", "y", tile("x", radius).alias("_gx"), tile("y", radius).alias("_gy"))
     d = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
-    return a.join(_spread(others, radius), ["space", "_gx", "_gy"]).withColumn("dist", d).where(F.col("dist") <= radius)
+    return a.join(_spread(others, radius, carry), ["space", "_gx", "_gy"]).withColumn("dist", d).where(F.col("dist") <= radius)
 
 
-def _spread(others: DataFrame, radius: float) -> DataFrame:
-    """space, _gx, _gy, dst, _x, _y: each point once for each of the 3 x 3 grid cells around its own."""
+def _spread(others: DataFrame, radius: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """space, _gx, _gy, dst, _x, _y, dst_<c> of each column in carry: each point once for each of the 3 x 3 grid cells around its own."""
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    b = _placed(others).select("space", F.col("id").alias("dst"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    b = _placed(others).select("space", F.col("id").alias("dst"), *[F.col(c).alias(f"dst_{c}") for c in carry], F.col("x").alias("_x"), F.col("y").alias("_y"))
     b = b.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
     return b.withColumns({"_gx": tile("_x", radius) + F.col("_dx"), "_gy": tile("_y", radius) + F.col("_dy")}).drop("_dx", "_dy")
 
@@ -40,6 +41,20 @@ def radius_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFra
     return _reached(points, others, radius).select("space", "src", "dst", "dist")
 
 
+def banded_pairs(points: DataFrame, least: float, most: float, bands: int) -> DataFrame:
+    """space, band, a, b, n: ordered pairs of different points by label in bands of equal width, (least, most] together.
+
+    points: id, space, x, y, label; ids are unique within a space, points without a label are left out. Labels travel
+    with the points and pairs are counted where they arise; only counts are shuffled.
+    """
+    named = points.where("label is not null")
+    pairs = _reached(named, named, most, ("label",)).where((F.col("src") < F.col("dst")) & (F.col("dist") > least))
+    band = F.greatest(F.ceil((F.col("dist") - least) / F.lit((most - least) / bands)) - 1, F.lit(0))
+    n = pairs.groupBy("space", F.least(band, F.lit(bands - 1)).cast("int").alias("band"), F.col("src_label").alias("a"), F.col("dst_label").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return n.select("space", "band", F.explode(both).alias("e"), "n").groupBy("space", "band", "e.a", "e.b").agg(F.sum("n").alias("n"))
+
+
 #: Side of the finest tiles of the nearest join, in the unit of the coordinates, and the factor from level to level.
 TILE, FACTOR = 24.0, 4
 

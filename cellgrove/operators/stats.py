@@ -132,13 +132,14 @@ def morans_i(values: DataFrame, edges: DataFrame, cells: DataFrame) -> DataFrame
     return benjamini_hochberg(out.select("gene", "moran", "z", normal_tail(F.abs("z")).alias("p")), "p")
 
 
-def at_distance(bands: DataFrame, edges_um: list[float], wanted: list[float]) -> DataFrame:
-    """a, b, wanted, upto, ratio: of each pair of labels the band whose far edge is nearest to each wanted distance; ties
+def at_distance(bands: DataFrame, edges_um: list[float], wanted: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, a, b, wanted, upto, ratio: of each pair of labels the band whose far edge is nearest to each wanted distance; ties
     go to the nearer band."""
+    by = by or []
     far = F.element_at(F.array(*[F.lit(float(x)) for x in edges_um[1:]]), F.col("band") + 1)
     d = bands.withColumn("upto", far).withColumn("wanted", F.explode(F.array(*[F.lit(float(x)) for x in wanted])))
     near = F.min_by(F.struct("upto", "ratio"), F.struct(F.abs(F.col("upto") - F.col("wanted")), F.col("upto")))
-    return d.groupBy("a", "b", "wanted").agg(near.alias("m")).select("a", "b", "wanted", "m.upto", "m.ratio")
+    return d.groupBy(*by, "a", "b", "wanted").agg(near.alias("m")).select(*by, "a", "b", "wanted", "m.upto", "m.ratio")
 
 
 def co_occurrence(pairs: DataFrame, edges_um: list[float]) -> DataFrame:
@@ -147,9 +148,15 @@ def co_occurrence(pairs: DataFrame, edges_um: list[float]) -> DataFrame:
     pairs: a, b (labels), dist. Bands are (edge k, edge k+1]; a pair at distance 0 is in none.
     """
     band = reduce(lambda acc, k: acc.when((F.col("dist") > edges_um[k]) & (F.col("dist") <= edges_um[k + 1]), k), range(1, len(edges_um) - 1), F.when((F.col("dist") > edges_um[0]) & (F.col("dist") <= edges_um[1]), 0))
-    n = pairs.select("a", "b", band.alias("band")).where("band is not null").groupBy("band", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    of_a, of_b, all_ = Window.partitionBy("band", "a"), Window.partitionBy("band", "b"), Window.partitionBy("band")
-    return n.withColumn("ratio", (F.col("n") / F.sum("n").over(of_a)) / (F.sum("n").over(of_b) / F.sum("n").over(all_))).select("band", "a", "b", F.col("n").cast("bigint").alias("n"), "ratio")
+    return band_ratios(pairs.select("a", "b", band.alias("band")).where("band is not null").groupBy("band", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+
+
+def band_ratios(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, band, a, b, n, ratio: the ratio of co_occurrence from the counts of ordered pairs (by, band, a, b, n)."""
+    by = by or []
+    n = counts.withColumn("n", F.col("n").cast("double"))
+    of_a, of_b, all_ = (Window.partitionBy(*by, "band", *k) for k in (["a"], ["b"], []))
+    return n.withColumn("ratio", (F.col("n") / F.sum("n").over(of_a)) / (F.sum("n").over(of_b) / F.sum("n").over(all_))).select(*by, "band", "a", "b", F.col("n").cast("bigint").alias("n"), "ratio")
 
 
 def ripley_l(pairs: DataFrame, sizes: DataFrame, radii: list[float]) -> DataFrame:

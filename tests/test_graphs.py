@@ -7,7 +7,7 @@ from statistics import fmean, pstdev
 import numpy as np
 import pytest
 
-from cellgrove.operators.neighbours import delaunay_edges
+from cellgrove.operators.neighbours import banded_pairs, delaunay_edges
 from cellgrove.operators.permutations import dealt, space_enrichment
 
 
@@ -83,3 +83,19 @@ def test_delaunay_with_far_circles(spark):
 
     want = {(i, j) for i in xy for j in xy if i < j and (xy[i][0] - xy[j][0]) ** 2 + (xy[i][1] - xy[j][1]) ** 2 <= 900 and stands(i, j)}
     assert got == want and len(want) >= 10
+
+
+def test_banded_pairs(spark):
+    rng = random.Random(8)
+    points = [(i, "st"[i % 2], rng.uniform(-60, 60), rng.uniform(-60, 60), rng.choice(["a", "b", None])) for i in range(60)]
+    points += [(60, "s", 0.0, 0.0, "a"), (61, "s", 0.0, 0.0, "b"), (62, "s", 45.0, 0.0, "a"), (63, "s", 5.0, 0.0, "b"), (64, None, 1.0, 1.0, "a"), (65, "s", None, 1.0, "a")]
+    got = {(r.space, r.band, r.a, r.b): r.n for r in banded_pairs(spark.createDataFrame(points, "id int, space string, x double, y double, label string"), 5.0, 45.0, 8).collect()}
+    want = Counter()
+    for i, s, x, y, a in points:
+        for j, t, u, v, b in points:
+            if i != j and s is not None and s == t and None not in (x, u, a, b):
+                d = ((x - u) ** 2 + (y - v) ** 2) ** 0.5
+                for k in range(8):
+                    if 5 + 5 * k < d <= 10 + 5 * k:
+                        want[s, k, a, b] += 1
+    assert got == dict(want)
