@@ -37,7 +37,7 @@ def tissue_enrichment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tissue_moran(spark: SparkSession, folder: str) -> DataFrame:
-    """Moran's I of counts and areas of all cells on the graph of all sections."""
+    """Moran's I of counts and areas of all cells on the graph of all sections; missing values are 0."""
     cells, edges = _graph(spark, folder)
     v = cells.select("id", F.explode(F.array(*[F.struct(F.lit(t).alias("gene"), F.col(t).cast("double").alias("value")) for t in TRAITS])).alias("v")).select("id", "v.gene", "v.value").where("not isnan(value)")
     out = st.morans_i(v, both_ways(edges).select("src", "dst"), cells.select("id"))
