@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrove.functions import tile
@@ -18,24 +18,33 @@ def _placed(df: DataFrame) -> DataFrame:
 def _reached(points: DataFrame, others: DataFrame, radius: float, carry: tuple[str, ...] = ()) -> DataFrame:
     """space, src, x, y, dst, _x, _y, dist of radius_pairs: with the coordinates of both sides, and src_<c>, dst_<c> of
     each column in carry, so that the pairs need not be joined again."""
-    a = _placed(points).select("space", F.col("id").alias("src"), *[F.col(c).alias(f"src_{c}") for c in carry], "x", "y", tile("x", radius).alias("_gx"), tile("y", radius).alias("_gy"))
+    # each point of the other side lies in about four cells of twice the radius, where it would lie in nine of the radius
+    return _met(points, _spread(others, radius, 2 * radius, carry), radius, 2 * radius, carry)
+
+
+def _met(points: DataFrame, spread: DataFrame, radius: float, side: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    a = _placed(points).select("space", F.col("id").alias("src"), *[F.col(c).alias(f"src_{c}") for c in carry], "x", "y", tile("x", side).alias("_gx"), tile("y", side).alias("_gy"))
     d = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
-    return a.join(_spread(others, radius, carry), ["space", "_gx", "_gy"]).withColumn("dist", d).where(F.col("dist") <= radius)
+    return a.join(spread, ["space", "_gx", "_gy"]).withColumn("dist", d).where(F.col("dist") <= radius)
+
 
+def _spread(others: DataFrame, radius: float, side: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """space, _gx, _gy, dst, _x, _y, dst_<c> of each column in carry: each point once for each grid cell of the given side
+    that the square around its circle meets."""
+
+    def cells(c: str) -> Column:
+        reach = F.lit(radius) + F.lit(1e-9) * (F.lit(radius) + F.abs(F.col(c)))  # more than rounding can move a point
+        return F.sequence(tile(F.col(c) - reach, side), tile(F.col(c) + reach, side))
 
-def _spread(others: DataFrame, radius: float, carry: tuple[str, ...] = ()) -> DataFrame:
-    """space, _gx, _gy, dst, _x, _y, dst_<c> of each column in carry: each point once for each of the 3 x 3 grid cells around its own."""
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     b = _placed(others).select("space", F.col("id").alias("dst"), *[F.col(c).alias(f"dst_{c}") for c in carry], F.col("x").alias("_x"), F.col("y").alias("_y"))
-    b = b.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-    return b.withColumns({"_gx": tile("_x", radius) + F.col("_dx"), "_gy": tile("_y", radius) + F.col("_dy")}).drop("_dx", "_dy")
+    return b.withColumn("_gx", F.explode(cells("_x"))).withColumn("_gy", F.explode(cells("_y")))
 
 
 def radius_pairs(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     """src, dst, space, dist: each point with every other-side point of its space at most radius away.
 
-    points, others: id, space, x, y. Points get the grid cell they lie in, the other side is repeated for the 3 x 3
-    cells around its own; an equi-join on the cell and an exact test do the rest. A point on both sides lies near
+    points, others: id, space, x, y. Points get the grid cell they lie in, the other side is repeated for the
+    cells that its circle can meet; an equi-join on the cell and an exact test do the rest. A point on both sides lies near
     itself. Rows with nulls match nothing. AQE splits grid cells that hold too many points.
     """
     return _reached(points, others, radius).select("space", "src", "dst", "dist")
@@ -63,7 +72,7 @@ def _levels(placed: DataFrame, side: str, levels: int) -> list[DataFrame]:
     """Occupied tiles of every level, the finest first: space, <side>x, <side>y, <side>n, and the box of their points."""
     x, y, n, box = f"{side}x", f"{side}y", f"{side}n", [f"{side}{b}" for b in ("x0", "x1", "y0", "y1")]
     t = placed.groupBy("space", x, y).agg(F.count(F.lit(1)).alias(n), F.min("x").alias(box[0]), F.max("x").alias(box[1]), F.min("y").alias(box[2]), F.max("y").alias(box[3]))
-    out = [kept(t)]
+    out = [cut(t)]  # a short plan: every level of the descent refers to it
     for level in range(1, levels):
         up = out[0].groupBy("space", F.floor(F.col(x) / FACTOR**level).alias(x), F.floor(F.col(y) / FACTOR**level).alias(y))
         out.append(up.agg(F.sum(n).alias(n), F.min(box[0]).alias(box[0]), F.max(box[1]).alias(box[1]), F.min(box[2]).alias(box[2]), F.max(box[3]).alias(box[3])))
@@ -136,7 +145,7 @@ def nearest(points: DataFrame, targets: DataFrame, size: float = TILE) -> DataFr
     tiles finds the few target tiles that can hold the nearest target of a tile, and only those are joined. A point
     whose space has no target gets nulls; a point that is a target has distance 0; points without a place are left out.
     """
-    points, targets = kept(_placed(points).select("id", "space", "x", "y")), _placed(targets).select("id", "space", "x", "y")
+    points, targets = _placed(points).select("id", "space", "x", "y"), _placed(targets).select("id", "space", "x", "y")
     able = targets.select("space").distinct()
     hit = _near_pairs(points, targets, 1, size).groupBy("space", "px", "py", F.col("src").alias("id")).agg(F.min(F.struct("dist", "dst")).alias("n"))
     none = points.join(able, "space", "left_anti").select("id")
@@ -204,7 +213,7 @@ def delaunay_edges(points: DataFrame, longest: float, halo: float | None = None)
     out = None
     while True:
         last = halo > 2 * extent
-        third = _spread(points, halo).select("space", "_gx", "_gy", F.col("dst").alias("third"), F.col("_x").alias("cx"), F.col("_y").alias("cy"))
+        third = _spread(points, halo, halo).select("space", "_gx", "_gy", F.col("dst").alias("third"), F.col("_x").alias("cx"), F.col("_y").alias("cy"))
         e = edges.withColumns({"mx": mx, "my": my}).withColumns({"_gx": tile("mx", halo), "_gy": tile("my", halo)}).join(third, ["space", "_gx", "_gy"])  # both ends are there themselves
         decides = (F.col("third") != F.col("src")) & (F.col("third") != F.col("dst")) & (F.sqrt(vx * vx + vy * vy) <= halo)
         e = e.groupBy("space", "src", "dst", "dist", "ax", "ay", "bx", "by").agg(
@@ -244,14 +253,28 @@ def dense_aggregates(points: DataFrame, eps: float, least: int) -> DataFrame:
     A core point has at least `least` points within eps, itself included; core points within eps of each other are
     one cluster; other points within eps of a core point join the smallest such cluster. Noise has no row.
     """
-    from cellgrove.operators.components import min_label_components
-
-    pairs = kept(radius_pairs(points, points, eps).select("src", "dst"))
-    core = kept(pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("src"))
-    linked = pairs.join(core, "src", "left_semi").join(core.select(F.col("src").alias("dst")), "dst", "left_semi").where("src <= dst")
-    ends = linked.select(F.explode(F.array("src", "dst")).alias("record"), F.struct("src", "dst").alias("entity")).distinct()
-    label = kept(min_label_components(ends))
-    members = label.select(F.col("record").alias("id"), F.col("label").alias("cluster"), F.lit(True).alias("core"))
-    edge = pairs.join(core.select(F.col("src").alias("dst")), "dst", "left_semi").join(core, "src", "left_anti").join(label.select(F.col("record").alias("dst"), "label"), "dst")
-    edge = edge.groupBy(F.col("src").alias("id")).agg(F.min("label").alias("cluster")).withColumn("core", F.lit(False))
-    return members.unionByName(edge)
+    return placed_aggregates(points, eps, least).select("id", "cluster", "core")
+
+
+#: Side of the tiles in which links are contracted first, in eps.
+BLOCK = 40
+
+
+def placed_aggregates(points: DataFrame, eps: float, least: int) -> DataFrame:
+    """id, space, x, y, cluster, core: dense_aggregates with the places of the points, whose ids are unique.
+
+    Neighbours are counted where the pairs arise; core points are then paired with each other by place once more, and
+    so are the others with them, which moves less than joining all pairs to the core points would.
+    """
+    from cellgrove.operators.components import pair_components
+
+    at = ["space", "x", "y"]
+    n = _reached(points, points, eps).groupBy(F.col("src").alias("id"), *at).agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(n.select("id", *at, (F.col("n") >= least).alias("core")))
+    core = counted.where("core")
+    links = _reached(core, core, eps).where("src < dst").select("src", "dst", "space", tile("x", BLOCK * eps).alias("_bx"), tile("y", BLOCK * eps).alias("_by"))
+    label = pair_components(links, ["space", "_bx", "_by"]).withColumnRenamed("record", "id")
+    members = cut(core.join(label, "id", "left").select("id", *at, F.coalesce("label", "id").alias("cluster"), "core"))
+    near = _met(counted.where("not core"), _spread(members, eps, 2 * eps, ("cluster",)), eps, 2 * eps)
+    rim = near.groupBy(F.col("src").alias("id"), *at).agg(F.min("dst_cluster").alias("cluster"))
+    return members.unionByName(rim.withColumn("core", F.lit(False)))

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrove.functions import half_even, ratio, tile
-from cellgrove.operators.neighbours import dense_aggregates
+from cellgrove.operators.neighbours import placed_aggregates
 from cellgrove.operators.regions import near_points
-from cellgrove.plans import cut, kept, quantiles, ranked
+from cellgrove.plans import cut, few, kept, quantiles, ranked
 
 CONTACT = 15
+#: Side of the tiles by which cells far from every aggregate are left out, in micrometres.
+REACH_TILE = 100.0
 PHENOTYPES = ("inflamed", "excluded", "desert")
 
 
@@ -110,21 +112,26 @@ def two_names(shares: DataFrame, group: str, sure: float, least_second: float =
 def aggregates(cells: DataFrame, core_type: str, eps: float = 25, least: int = 20, rim: float = 20) -> tuple[DataFrame, DataFrame]:
     """(members, table): dense aggregates of one type with a rim, the largest first within the whole table.
 
-    cells: id, space, x, y, cell_type, lineage, is_tumour. Clusters by dense_aggregates; centre = mean of the core
+    cells: id, space, x, y, cell_type, lineage, is_tumour. Clusters by placed_aggregates; centre = mean of the core
     type's points, radius = 90th percentile of their distances plus rim. members: id, name of the aggregate whose
     circle holds the cell, the smallest one where circles overlap. table: each circle's own composition.
     """
-    own = cells.where(F.col("cell_type") == core_type)
-    label = cut(own.join(dense_aggregates(own, eps, least).select("id", "cluster"), "id"))  # one type's cells: short plans from here on
-    centre = kept(label.groupBy("space", "cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("n_core")))
+    own = cells.where(F.col("cell_type") == core_type).select("id", "space", "x", "y")
+    label = cut(placed_aggregates(cut(own), eps, least))  # one type's cells, then circles: short plans from here on
+    centre = cut(label.groupBy("space", "cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("n_core")))
     away = F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)
     far = quantiles(label.join(centre, ["space", "cluster"]).withColumn("_away", away), ["space", "cluster"], "_away", {"_far": 0.9})
-    radius = centre.join(far, ["space", "cluster"]).withColumn("radius", F.col("_far") + rim).drop("_far")
+    radius = cut(centre.join(far, ["space", "cluster"]).withColumn("radius", F.col("_far") + rim).drop("_far"))
     circles = cut(ranked(radius, [], [F.col("n_core").desc(), F.col("cluster")], "rank"))
+    # only cells in tiles that a circle meets travel on
+    at = {"_tx": tile("x", REACH_TILE), "_ty": tile("y", REACH_TILE)}
+    met = lambda c: F.explode(F.sequence(tile(F.col(c) - F.col("radius") - 1e-3, REACH_TILE), tile(F.col(c) + F.col("radius") + 1e-3, REACH_TILE)))
+    tiles = cut(circles.select("space", "cy", "radius", met("cx").alias("_tx")).select("space", "_tx", met("cy").alias("_ty")).distinct())
+    cells = kept(cells.select("id", "space", "x", "y", "cell_type", "lineage", "is_tumour").withColumns(at).join(few(tiles), ["space", "_tx", "_ty"], "left_semi"))
     spots = cells.select("space", F.col("id").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py"))
     near = near_points(spots, circles.select("space", F.col("rank").alias("region_id"), "cx", "cy", "radius"), "radius", strip=200.0)
     held = near.select(F.col("point_id").alias("id"), F.col("region_id").alias("rank"))
-    inside = kept(held.join(cells.select("id", "cell_type", "lineage", "is_tumour"), "id").join(circles.drop("cluster"), "rank"))
+    inside = cut(held.join(cells.select("id", "cell_type", "lineage", "is_tumour"), "id").join(circles.drop("cluster"), "rank"))
     members = inside.groupBy("id").agg(F.concat(F.lit("A"), F.max("rank").cast("string")).alias("aggregate"))
     pct = lambda cond: F.round(100 * F.avg(cond.cast("double")), 6)
     table = inside.groupBy("rank", "space", "n_core", "cx", "cy", "radius").agg(F.count(F.lit(1)).alias("cells"), pct(F.col("cell_type") == core_type).alias("pct_core"), pct(F.col("lineage") == "T / NK").alias("pct_t_nk"), pct(F.col("is_tumour")).alias("pct_tumour"))

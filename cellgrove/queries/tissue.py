@@ -93,7 +93,8 @@ def dbscan_aggregates(spark, d):
 
 def aggregate_table(spark, d):
     """Centre, radius and composition of each aggregate with its rim."""
-    _, t = ts.aggregates(kept(tissue(spark, d)), "B cell", EPS, LEAST_B)
+    c = tissue(spark, d).select("id", "space", "x", "y", "cell_type", "lineage", "is_tumour")  # no other column is shuffled
+    _, t = ts.aggregates(kept(c), "B cell", EPS, LEAST_B)
     return t.select("space", F.col("n_core"), F.round("cx", 8).alias("cx"), F.round("cy", 8).alias("cy"), F.round("radius", 8).alias("radius"), "cells", "pct_core", "pct_t_nk", "pct_tumour")
 
 
