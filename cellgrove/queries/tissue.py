@@ -38,7 +38,7 @@ def exclusion_on_positions(spark, d):
 
 def radius_neighbours(spark, d):
     """Number of neighbours within 15 µm of each cell, itself included."""
-    c = kept(tissue(spark, d))
+    c = kept(tissue(spark, d).select("id", "space", "x", "y"))  # no other column is shuffled
     return nb.radius_pairs(c, c, 15.0).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 

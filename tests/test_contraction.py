@@ -28,3 +28,12 @@ def test_pairs_are_contracted_in_chunks(spark):
     for chunk in (3, 40, 1000):  # ties that fit no chunk, ties that fit one, no ties within a part
         got = [tuple(r) for r in pair_components(df, ["part"], chunk).collect()]
         assert dict(got) == least and len(got) == len(least)
+
+
+def test_points_lie_in_few_cells(spark, rows):
+    rng = random.Random(6)
+    p = [(f"c{i}", "s", rng.uniform(-100, 100), rng.uniform(-100, 100), None) for i in range(300)] + [("a", "t", 0.0, 0.0, None), ("b", "t", 15.0, 0.0, None), ("c", "t", -15.0, 0.0, None), ("d", "t", 15.0001, 15.0, None)]
+    df = spark.createDataFrame(p, POINT)
+    assert nb._spread(df, 15.0, 30.0).count() < 4.6 * len(p)
+    want = sorted((a[0], b[0]) for a in p for b in p if a[1] == b[1] and math.dist(a[2:4], b[2:4]) <= 15)
+    assert rows(nb.radius_pairs(df, df, 15.0).select("src", "dst")) == want
