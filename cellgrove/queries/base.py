@@ -25,10 +25,15 @@ def tissue(spark: SparkSession, folder: str) -> DataFrame:
 TISSUE = f"{CELL}, tissue AS (SELECT cell_id AS id, section_id AS space, xu AS x, yu AS y, typ AS cell_type, lin AS lineage, tum AS is_tumour, tt AS in_time_types, cell_area, nucleus_area, transcript_counts, niche FROM cell WHERE {sql_fold('annotation_confidence')} = 'high' AND typ IS NOT NULL AND xu IS NOT NULL AND section_id IS NOT NULL)"
 
 
-def with_distance(cells: DataFrame) -> DataFrame:
-    """Adds d: the distance to the nearest tumour cell of the section."""
-    cells = kept(cells)
-    return cells.join(nearest(cells, cells.where("is_tumour")).select("id", F.col("dist").alias("d")), "id")
+def with_distance(cells: DataFrame, tumour: DataFrame | None = None) -> DataFrame:
+    """Adds d: the distance to the nearest tumour cell of the section, of those in tumour or else in cells."""
+    if tumour is None:
+        cells = kept(cells)
+        tumour = cells.where("is_tumour")
+    # a tumour cell is its own nearest: only the others are looked for
+    d = nearest(cells.where("not coalesce(is_tumour, false)"), tumour).select("id", F.col("dist").alias("d"))
+    itself = F.when(F.col("is_tumour"), F.lit(0.0)).otherwise(F.col("d"))
+    return cells.join(d, "id", "left").withColumn("d", itself)
 
 
 DISTANCE = f"{TISSUE}, far AS (SELECT a.*, (SELECT min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) FROM tissue b WHERE b.space = a.space AND b.is_tumour) AS d FROM tissue a)"

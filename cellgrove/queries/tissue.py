@@ -98,10 +98,14 @@ def aggregate_table(spark, d):
     return t.select("space", F.col("n_core"), F.round("cx", 8).alias("cx"), F.round("cy", 8).alias("cy"), F.round("radius", 8).alias("radius"), "cells", "pct_core", "pct_t_nk", "pct_tumour")
 
 
-def _with_aggregates(spark, d):
-    c = kept(tissue(spark, d))
+def _with_aggregates(spark, d, *also, far=True, types=None):
+    """Cells with the aggregate that holds them and, with far, their distance to the nearest tumour cell: of the given
+    types only, if any are named. No other columns than the operators need and those in also are shuffled."""
+    c = kept(tissue(spark, d).select("id", "space", "x", "y", "cell_type", "lineage", "is_tumour", *also))
     members, _ = ts.aggregates(c, "B cell", EPS, LEAST_B)
-    return with_distance(c).join(members, "id", "left").withColumn("in_aggregate", F.col("aggregate").isNotNull())
+    shown = c if types is None else c.where(F.col("cell_type").isin(types))
+    shown = with_distance(shown, c.where("is_tumour")) if far else shown
+    return shown.join(members, "id", "left").withColumn("in_aggregate", F.col("aggregate").isNotNull())
 
 
 def compartments(spark, d):

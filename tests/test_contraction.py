@@ -37,3 +37,11 @@ def test_points_lie_in_few_cells(spark, rows):
     assert nb._spread(df, 15.0, 30.0).count() < 4.6 * len(p)
     want = sorted((a[0], b[0]) for a in p for b in p if a[1] == b[1] and math.dist(a[2:4], b[2:4]) <= 15)
     assert rows(nb.radius_pairs(df, df, 15.0).select("src", "dst")) == want
+
+
+def test_only_other_cells_look_for_tumour(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(base, "nearest", lambda points, targets: asked.append(points) or nb.nearest(points, targets))
+    df = spark.createDataFrame([("a", "s", 0.0, 0.0, True), ("b", "s", 3.0, 4.0, False), ("c", "s", 3.0, 4.0, None), ("d", "t", 0.0, 0.0, False)], POINT)
+    assert {r.id: r.d for r in base.with_distance(df).collect()} == {"a": 0.0, "b": 5.0, "c": 5.0, "d": None}
+    assert {r.id for r in asked[0].collect()} == {"b", "c", "d"}
