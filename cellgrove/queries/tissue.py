@@ -125,7 +125,7 @@ STATES = {"rich": "transcript_counts >= 60", "large": "cell_area >= 80", "round"
 
 def cd8_states(spark, d):
     """Percentage of CD8 cells with each trait per compartment, with the chi-square test across compartments."""
-    c = _with_aggregates(spark, d).where("cell_type = 'CD8 T (GZMK+)'").withColumn("a", ts.compartment(F.col("d"), F.col("in_aggregate")))
+    c = _with_aggregates(spark, d, "cell_area", "nucleus_area", "transcript_counts", types=["CD8 T (GZMK+)"]).withColumn("a", ts.compartment(F.col("d"), F.col("in_aggregate")))
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("state"), F.coalesce(F.expr(v), F.lit(False)).alias("b")) for k, v in STATES.items()]))
     n = kept(c.select("a", rows.alias("r")).groupBy("r.state", "a", "r.b").agg(F.count(F.lit(1)).alias("n")))
     places = n.select("state", "a").distinct().withColumn("b", F.explode(F.array(F.lit(False), F.lit(True))))

@@ -45,3 +45,19 @@ def test_only_other_cells_look_for_tumour(spark, monkeypatch):
     df = spark.createDataFrame([("a", "s", 0.0, 0.0, True), ("b", "s", 3.0, 4.0, False), ("c", "s", 3.0, 4.0, None), ("d", "t", 0.0, 0.0, False)], POINT)
     assert {r.id: r.d for r in base.with_distance(df).collect()} == {"a": 0.0, "b": 5.0, "c": 5.0, "d": None}
     assert {r.id for r in asked[0].collect()} == {"b", "c", "d"}
+
+
+def _shown(spark, monkeypatch, query):
+    seen = []
+
+    def near(cells, *tumour):
+        seen.extend(r[0] for r in cells.select("cell_type").distinct().collect())
+        return base.with_distance(cells, *tumour)
+
+    monkeypatch.setattr(tissue, "with_distance", near)
+    query(spark, DATA).collect()
+    return set(seen)
+
+
+def test_states_look_at_their_cells_only(spark, monkeypatch):
+    assert _shown(spark, monkeypatch, tissue.cd8_states) <= {"CD8 T (GZMK+)"}
