@@ -116,7 +116,8 @@ def compartments(spark, d):
 
 def ratio_by_band(spark, d):
     """CD8 to CD163+ macrophage ratio per distance band."""
-    return ts.ratio_by_band(_with_aggregates(spark, d), "CD8 T (GZMK+)", "CD163+ macrophage").withColumn("value", F.round("value", 9))
+    c = _with_aggregates(spark, d, types=["CD8 T (GZMK+)", "CD163+ macrophage"])  # no other type counts
+    return ts.ratio_by_band(c, "CD8 T (GZMK+)", "CD163+ macrophage").withColumn("value", F.round("value", 9))
 
 
 #: Traits of a cell that stand for genes here: the tables hold no counts of cells.

@@ -61,3 +61,7 @@ def _shown(spark, monkeypatch, query):
 
 def test_states_look_at_their_cells_only(spark, monkeypatch):
     assert _shown(spark, monkeypatch, tissue.cd8_states) <= {"CD8 T (GZMK+)"}
+
+
+def test_ratio_looks_at_its_two_types_only(spark, monkeypatch):
+    assert _shown(spark, monkeypatch, tissue.ratio_by_band) <= {"CD8 T (GZMK+)", "CD163+ macrophage"}
