@@ -196,7 +196,7 @@ def domain_mix(spark, d):
 
 def viewer_export(spark, d):
     """Every placed cell with its niche and aggregate, none where it has none."""
-    c = _with_aggregates(spark, d)
+    c = _with_aggregates(spark, d, "niche", far=False)
     return c.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "cell_type", F.coalesce("niche", F.lit("none")).alias("niche"), F.when(F.col("in_aggregate"), "aggregate").otherwise("none").alias("place"))
 
 

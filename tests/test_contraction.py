@@ -65,3 +65,8 @@ def test_states_look_at_their_cells_only(spark, monkeypatch):
 
 def test_ratio_looks_at_its_two_types_only(spark, monkeypatch):
     assert _shown(spark, monkeypatch, tissue.ratio_by_band) <= {"CD8 T (GZMK+)", "CD163+ macrophage"}
+
+
+def test_export_needs_no_distance(spark, monkeypatch):
+    assert not _shown(spark, monkeypatch, tissue.viewer_export)
+    assert tissue.viewer_export(spark, DATA).count() == base.tissue(spark, DATA).count()
