@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.functions import uniform
 from cellgrove.llm.mail import body, chunks, sentences
-from cellgrove.plans import cut
+from cellgrove.plans import cut, kept
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "ru")
 #: ISO 639-2 codes (both forms, where there are two) of the languages above.
 THREE_LETTERS = {"deu": "de", "ger": "de", "eng": "en", "spa": "es", "fra": "fr", "fre": "fr", "ita": "it", "nld": "nl", "dut": "nl", "por": "pt", "rus": "ru"}
 ORDER = 5
-#: Bound of the training sample: labelled mails per language, taken in hash order over the whole table.
-TRAIN_MAILS = 1_500
 #: Log odds by which a training mail's label is believed for each of its sentences.
 LABEL_FAVOUR = 6.0
-#: Part of a held-out sample's sentences that calibrated rejection may refuse.
+#: Part of the labelled mails' sentences that calibrated rejection may refuse.
 REJECT = 0.002
 
 
@@ -97,8 +94,8 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
 
 
 def train(words: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> Model:
-    """A model from lang, word, n (counts of a bounded sample). Spark counts the n-grams of every order; what comes to the
-    driver for the discounts and the hash arrays are the distinct n-grams of that sample and no more."""
+    """A model from lang, word, n (counts over all mails). Spark counts the n-grams of every order; what comes to the
+    driver for the discounts and the hash arrays are the distinct n-grams and no more."""
     pad = " " * (ORDER - 1)
     s = F.concat(F.lit(pad), F.col("word"), F.lit(" "))
     grams = words.withColumn("s", s).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("s") - (ORDER - 1))))
@@ -156,13 +153,23 @@ class _Scorer:
 
 
 def _stretches(scorer: _Scorer, texts: list[str | None], labels: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The figures of _judged for the sentences of texts."""
+    return _judged(scorer, [sentences(body(t)) for t in texts], labels)
+
+
+def _split(said: Iterable[str]) -> list[list[list[str]]]:
+    """Words of the sentences, one a line, of each text."""
+    return [[s.split(" ") for s in t.split("\n")] if t else [] for t in said]
+
+
+def _judged(scorer: _Scorer, texts: list[list[list[str]]], labels: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Sentences of all texts: text number, words, the language without rejection, language (-1: rejected), confidence, entropy.
 
     labels (language numbers, one per text) favour the label in each sentence, as training does.
     """
     doc, size, flat = [], [], []
     for i, t in enumerate(texts):
-        for s in sentences(body(t)):
+        for s in t:
             doc.append(i)
             size.append(len(s))
             flat.extend(s)
@@ -197,35 +204,34 @@ def _stretches(scorer: _Scorer, texts: list[str | None], labels: np.ndarray | No
     return doc, size, likely, np.where(known, best, -1), confidence, entropy
 
 
-def fit(docs: DataFrame, per_language: int = TRAIN_MAILS, reject: float = REJECT, seed: int = 0, rounds: int = 2) -> Model:
-    """Trains on a bounded sample of labelled mails: per_language of each language, in hash order of doc_id.
+def fit(docs: DataFrame, reject: float = REJECT, rounds: int = 2) -> Model:
+    """Trains on all labelled mails, decoded once.
 
     Labels are partly wrong and mails partly mixed, so each further round counts every sentence for the language that
-    the model of the round before gives it. Rejection is calibrated on the sample: the entropy above which the given
-    part of its sentences lies. Needs a mail of some language; without any, fitting fails with a ValueError.
+    the model of the round before gives it. Rejection is calibrated on the same mails: the entropy above which the given
+    part of their sentences lies. Needs a mail of some language; without any, fitting fails with a ValueError.
     """
     spark = docs.sparkSession
-    some = docs.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where("label is not null and doc_id is not null").withColumn("u", uniform(F.lit(seed), "doc_id"))
-    known = {r.label: r["n"] for r in some.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row per language
-    # the share of each language that holds its sample, with six standard deviations to spare: only those rows are ranked
-    share = {v: (per_language + 6 * per_language**0.5 + 6) / n for v, n in known.items()}
-    edge = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("label")] if share else F.lit(0.0)
-    w = Window.partitionBy("label").orderBy("u", "doc_id")
-    sample = cut(some.where(F.col("u") < edge).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_language).select("text", "label"))
+    told = docs.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where("label is not null and doc_id is not null")
 
-    def read_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(batches):
-            rows = [(lab, x) for lab, t in zip(pdf["label"], pdf["text"], strict=True) for s in sentences(body(t)) for x in s]
-            counts = pd.DataFrame(rows, columns=["lang", "word"]).value_counts().reset_index(name="n")
-            yield counts
+            yield pd.DataFrame({"label": pdf["label"], "said": ["\n".join(" ".join(x) for x in sentences(body(t))) for t in pdf["text"]]})
+
+    said = kept(told.select("label", "text").mapInPandas(decode, "label string, said string"))  # words hold no blanks
+
+    def read_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in chunks(batches, "said"):
+            rows = [(lab, x) for lab, t in zip(pdf["label"], pdf["said"], strict=True) for x in t.split()]
+            yield pd.DataFrame(rows, columns=["lang", "word"]).value_counts().reset_index(name="n")
 
     def relabelled(model):
         def read_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             scorer, number = _Scorer(model.value), {v: i for i, v in enumerate(model.value.languages)}
-            for pdf in chunks(batches):
-                texts = list(pdf["text"])
-                _, size, _, best, _, _ = _stretches(scorer, texts, pdf["label"].map(number).to_numpy(dtype=int))
-                flat = [x for t in texts for s in sentences(body(t)) for x in s]
+            for pdf in chunks(batches, "said"):
+                texts = _split(pdf["said"])
+                _, size, _, best, _, _ = _judged(scorer, texts, pdf["label"].map(number).to_numpy(dtype=int))
+                flat = [x for t in texts for s in t for x in s]
                 at = np.repeat(best, size)
                 rows = pd.DataFrame({"lang": np.asarray(model.value.languages, dtype=object)[at], "word": flat})[at >= 0]
                 yield rows.value_counts().reset_index(name="n")
@@ -235,8 +241,8 @@ def fit(docs: DataFrame, per_language: int = TRAIN_MAILS, reject: float = REJECT
     def entropies(model):
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             scorer = _Scorer(model.value)
-            for pdf in chunks(batches):
-                _, size, _, _, _, e = _stretches(scorer, list(pdf["text"]))
+            for pdf in chunks(batches, "said"):
+                _, size, _, _, _, e = _judged(scorer, _split(pdf["said"]))
                 yield pd.DataFrame({"e": e[size >= 4]})
 
         return measure
@@ -244,12 +250,12 @@ def fit(docs: DataFrame, per_language: int = TRAIN_MAILS, reject: float = REJECT
     schema = "lang string, word string, n bigint"
     make = read_words
     for _ in range(rounds):
-        words = sample.select("label", "text").mapInPandas(make, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        words = said.mapInPandas(make, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
         words = cut(words)
         if not words.limit(1).count():
             raise ValueError("no labelled mail to train on")
         model = train(words)
-        edge = sample.select("text").mapInPandas(entropies(spark.sparkContext.broadcast(model)), "e double").agg(F.percentile_approx("e", F.lit(1 - reject), F.lit(10_000))).first()[0]
+        edge = said.select("said").mapInPandas(entropies(spark.sparkContext.broadcast(model)), "e double").agg(F.percentile_approx("e", F.lit(1 - reject), F.lit(10_000))).first()[0]
         if edge is not None:
             model.worst = model.strange = 1.25 * edge
         make = relabelled(spark.sparkContext.broadcast(model))
