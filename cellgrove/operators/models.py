@@ -4,7 +4,9 @@ substitute is named as one."""
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
@@ -45,15 +47,26 @@ def kmeans_labels(df: DataFrame, k: int, seed: int = 0) -> tuple[DataFrame, list
     return model.transform(df), [list(map(float, c)) for c in model.clusterCenters()]
 
 
+#: Rows that are worth a task of a mixture's fit.
+ROWS = 2_000
+#: Mixtures that are fitted at the same time.
+FITS = 6
+
+
 def stable_mixtures(df: DataFrame, key: str, ks: list[int], runs: int = 2, seed: int = 0) -> DataFrame:
     """k, stability: mean Fowlkes-Mallows index between Gaussian mixtures fitted from different seeds, for each k."""
     spark = df.sparkSession
-    rows = []
-    for k in ks:  # a few parameter values, each a distributed fit
+    df = kept(df.coalesce(max(1, -(-df.count() // ROWS))))  # each task inverts every covariance in every step
+
+    def score(k: int) -> tuple[int, float]:
         fits = [kept(GaussianMixture(k=k, seed=seed + r, maxIter=25, featuresCol="features", predictionCol="c").fit(df).transform(df).select(key, "c")) for r in range(runs)]
         scores = [agreement_scores(a.withColumnRenamed("c", "a").join(b.withColumnRenamed("c", "b"), key)).first().fmi for i, a in enumerate(fits) for b in fits[i + 1 :]]
-        rows.append((k, float(sum(s or 0.0 for s in scores) / max(1, len(scores)))))
-    return spark.createDataFrame(rows, "k int, stability double")
+        return k, float(sum(s or 0.0 for s in scores) / max(1, len(scores)))
+
+    # a few parameter values, each a distributed fit of many short jobs: several run at once, the largest first
+    with ThreadPool(FITS) as pool:
+        rows = pool.map(inheritable_thread_target(spark)(score), sorted(ks, reverse=True), chunksize=1)
+    return spark.createDataFrame(sorted(rows), "k int, stability double")
 
 
 def folds(group: Column, n: int, seed: int = 0) -> Column:

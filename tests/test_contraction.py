@@ -70,3 +70,17 @@ def test_ratio_looks_at_its_two_types_only(spark, monkeypatch):
 def test_export_needs_no_distance(spark, monkeypatch):
     assert not _shown(spark, monkeypatch, tissue.viewer_export)
     assert tissue.viewer_export(spark, DATA).count() == base.tissue(spark, DATA).count()
+
+
+def test_mixtures_are_fitted_at_once(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=90)
+
+    class Waiting(md.GaussianMixture):
+        def fit(self, df):
+            both.wait()  # breaks if fits follow each other
+            return super().fit(df)
+
+    monkeypatch.setattr(md, "GaussianMixture", Waiting)
+    df = spark.range(40).select("id", md.array_to_vector(F.array(F.col("id").cast("double"), (F.col("id") % 2).cast("double"))).alias("features"))
+    got = md.stable_mixtures(df, "id", [2, 3], 2).collect()
+    assert [r.k for r in got] == [2, 3] and all(0 <= r.stability <= 1 for r in got)
